@@ -55,7 +55,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, what, name, n): counts of nodes, edges, and each type of both."""
     count = lambda df, what: df.groupBy("project_id", F.col("type").alias("name")).agg(F.count("*").alias("n")).select("project_id", F.lit(what).alias("what"), "name", "n")
     types = count(nodes, "node_type").unionByName(count(edges, "edge_type"))
-    total = types.groupBy("project_id", F.regexp_replace("what", "_type", "s").alias("what")).agg(F.sum("n").alias("n"))
+    total = types.groupBy("project_id", F.regexp_replace("what", "_type", "").alias("what")).agg(F.sum("n").alias("n"))
     return types.unionByName(total.select("project_id", "what", F.lit("").alias("name"), "n"))
 
 

@@ -60,6 +60,9 @@ class OrderCreate(OrderBase):
 class OrderPublic(OrderBase):
     id: int
 
+class OrderList(BaseModel):
+    items: list[OrderPublic]
+
 class Unused(BaseModel):
     value: int
 '''
