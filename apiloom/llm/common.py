@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apiloom.sources.shared import shared_dir, written
+
+__all__ = ["read_table", "shared_dir", "small_batches", "text_key", "written"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the input folder, reduced to the named columns."""
@@ -15,28 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return table.select(*columns) if columns else table
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``; only where it is unset (tests), an own one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
-
-    Cuts the lineage: an executor lost later costs no recomputation of what stands before this table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/apiloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: str | Column = "text") -> Column:
     """64-bit key of a text. Only ever used next to the document's id, so two texts would have to share that as well."""
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)

@@ -14,7 +14,6 @@ from apiloom.llm.common import small_batches, written
 from apiloom.llm.components import connected_components
 from apiloom.llm.suffixes import _keyed
 
-_SEED = np.random.default_rng(5)
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
 #: A line of more words than this is cut into paragraphs at ends of sentences that its own words choose.
 LONG_LINE = 24
@@ -85,8 +84,7 @@ class Bands:
 def _closest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """Least index of each set's class, links being pairs of at least that Jaccard similarity.
 
-    An inverted index of the sets' elements gives the pairs that share any; a set is compared with one class at a time
-    and not again once it has joined it.
+    Sets come by size, so only those of a fitting size are compared, and two that chains of links have joined are not.
     """
     label = list(range(len(sets)))
 
