@@ -91,7 +91,7 @@ class FitLimits:
     least_z: float = 3.5
     rank: int = 8
     rounds: int = 250
-    l2: float = 2e-5
+    l2: float = 5e-6
     step: float = 0.05
 
 
@@ -138,18 +138,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, make: Cal
     return model
 
 
-def score(docs: DataFrame, model: FactorizationMachine, make: Callable[[], Features]) -> DataFrame:
-    """(doc_id, score) of every row, whole texts, without a shuffle. The model has a proven bound and is broadcast."""
+def score(docs: DataFrame, model: FactorizationMachine, make: Callable[[], Features], carry: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``carry`` (doc_id) of every row and its score, whole texts, without a shuffle. The model has a proven bound and is broadcast."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    carry = carry or ["doc_id"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, fm = make(), shared.value
         for batch in batches:
-            found = [fm.columns(features(t or "")) for t in batch.column("text").to_pylist()]
+            found = [fm.columns(features(t or "")) for t in batch.column("__text").to_pylist()]
             rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
             columns = np.concatenate(found) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fm.scores(rows, columns.astype(np.int64), len(found)))], ["doc_id", "score"])
+            scores = pa.array(fm.scores(rows, columns.astype(np.int64), len(found)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), scores], [*carry, name])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
-    return docs.select("doc_id", "text").mapInArrow(each, schema)
+    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(name, T.DoubleType())])
+    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(each, schema)

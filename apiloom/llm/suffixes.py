@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 20_000, rows_a
         again = single.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
         some = single.where("once").join(again, "w", "left_semi").select("doc_id", "text_key", (F.col("start") + F.col("k")).alias("a"), (F.col("start") + F.col("k") + length).alias("b"))
         cool = cool.unionByName(some)
-    return spans.distinct().unionByName(cool).groupBy("doc_id", "text_key").agg(F.array_distinct(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return spans.unionByName(cool).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def drop_repeats(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFrame:

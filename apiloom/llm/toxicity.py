@@ -61,11 +61,5 @@ def held_out(mod: int, equals: int, doc_id: str | Column = "doc_id") -> Column:
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, columns as they are.
-
-    Scores are joined back by id and text, both possibly null, so a repeated id with another text has its own score.
-    """
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
-    bad = toxicity_scores(keyed, model).where(F.col("score") >= threshold).select(F.col("doc_id").alias("__key")).distinct()
-    key = F.struct(docs.doc_id.alias("doc_id"), F.xxhash64(docs.text).alias("col2"))
-    return docs.join(bad, key == bad["__key"], "left_anti")
+    """The rows of ``docs`` that score below ``threshold``, columns as they are; scored and filtered in the scan's own tasks."""
+    return score(docs, model, ToxicTerms, docs.columns, "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
