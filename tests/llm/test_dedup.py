@@ -10,7 +10,7 @@ import xxhash
 
 from apiloom.llm.components import connected_components
 from apiloom.llm.linededup import dedup_lines
-from apiloom.llm.paragraphs import paragraph_clusters, paragraphs_of, repeated_paragraphs, shingle_set
+from apiloom.llm.paragraphs import Paragraphs, WordHashes, paragraph_clusters, repeated_paragraphs
 from apiloom.llm.simhash import drop_near_duplicates, linked_within, near_duplicates
 from apiloom.llm.suffixes import drop_repeats
 
@@ -164,6 +164,12 @@ def test_lines_equal_brute_force(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def cut(text, least):
+    parts = (text or "").lower().split()
+    found = Paragraphs.of([text], WordHashes(), least)
+    return [(a, parts[a : a + n]) for a, n in zip(found.place.tolist(), found.size.tolist(), strict=True)]
+
+
 def test_paragraph_classes_equal_brute_force(spark):
     rng = random.Random(9)
     base = [words(rng, 30) for _ in range(12)]
@@ -174,8 +180,8 @@ def test_paragraph_classes_equal_brute_force(spark):
             parts[rng.randrange(len(parts))] = words(rng, 1)
         rows.append((i, words(rng, 20) + "\n" + " ".join(parts) + "\nshort one"))
     rows += [(500, None), (501, ""), (None, rows[0][1]), (3, rows[3][1])]
-    placed = [(d, t, at, p) for d, t in dict.fromkeys(rows) for at, p in paragraphs_of(t or "") if len(p.split()) >= 8]
-    sets = [set(shingle_set(p, 5).tolist()) for *_, p in placed]
+    placed = [(d, t, at, p) for d, t in dict.fromkeys(rows) for at, p in cut(t, 8)]
+    sets = [{tuple(p[i : i + 5]) for i in range(len(p) - 4)} for *_, p in placed]
     label = list(range(len(placed)))
     for _ in range(len(placed)):
         before = list(label)
@@ -190,14 +196,27 @@ def test_paragraph_classes_equal_brute_force(spark):
     got = paragraph_clusters(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     found = {(None if r.no_id else r.doc_id, r.start) for r in got}
     assert found <= want and len(found) >= 0.98 * len(want)
-    assert len({(r.keeper_doc, r.keeper_start) for r in got}) == len({label[i] for i, (d, _, at, _) in enumerate(placed) if (d, at) in found})
+    assert len({(r.keeper.doc_id, r.keeper.start) for r in got}) == len({label[i] for i, (d, _, at, _) in enumerate(placed) if (d, at) in found})
     removed = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()
     assert all((r.doc_id, r.start) != (r.keeper_doc_id, r.keeper_start) for r in removed)
     assert repeated_paragraphs(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_short_shared_lines_stay_and_passages_go(spark):
+    rng = random.Random(2)
+    head, passage = words(rng, 12), ". ".join(words(rng, 7) for _ in range(9))
+    rows = [(i, f"{head}\n{words(rng, 40)}. {passage}. {words(rng, 30)}") for i in range(6)] + [(i, f"{head}\n{words(rng, 60)}") for i in range(6, 12)]
+    got = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in got} == set(range(1, 6)) and all(r.keeper_doc_id < r.doc_id for r in got)
+    short = repeated_paragraphs(spark.createDataFrame(rows, SCHEMA), least_run=0).collect()
+    assert {r.doc_id for r in short} == set(range(1, 12))
+
+
 def test_paragraphs_cover_a_text():
-    text = "One two. " * 40 + "\n\nlast line"
-    for at, p in paragraphs_of(text):
-        assert text[at : at + len(p)] == p
-    assert sum(len(p.split()) for _, p in paragraphs_of(text)) == len(text.split())
+    text = "One two. Three four! " * 40 + "\n\nlast line"
+    parts = cut(text, 1)
+    assert [w for _, p in parts for w in p] == text.lower().split() and parts[-1][1] == ["last", "line"] and len(parts) > 10
+    batch = Paragraphs.of(["", "a b c d e f g h", None, "x " + "a b c d e f g h"], WordHashes(), 8)
+    assert batch.text.tolist() == [1, 3] and len({tuple(c) for c in batch.contents().tolist()}) == 2
+    twice = Paragraphs.of(["q\na b c d e f g h", "a b c d e f g h\nz", "b a c d e f g h"], WordHashes(), 8)
+    assert len({tuple(c) for c in twice.contents().tolist()}) == 2 and twice.place.tolist() == [1, 0, 0]
