@@ -6,6 +6,7 @@ SQL that derives the expected facts from the rows directly; and the tables' own
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,10 +17,11 @@ from apiloom.functions.names import content_hash, is_auth_name, is_likely_public
 from apiloom.functions.sql import sql_tables
 from apiloom.operators import audit, deps, graph, models, report, routes
 from apiloom.plans.build import all_refs, build_graph, class_ancestry
+from apiloom.plans.paths import include_chains as include_chains_of
 from apiloom.plans.resolve import find_module, module_index, resolve_refs
 from apiloom.sources.corpus import order_projects
 from apiloom.sources.extract import extract_facts
-from apiloom.sources.shared import written
+from apiloom.sources.shared import shared_dir, written
 from apiloom.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -334,6 +336,31 @@ def impact_of_table(spark, sf_dir):
     return graph.impact(nodes, edges, roots, 2).where("type = 'Route'").select("project_id", "id", F.array_join("via", " < ").alias("via"))
 
 
+@registered(_ROWS + """SELECT p.project_id, id, CASE WHEN id = 'app.deps:verify_access' THEN EXISTS (FROM h WHERE h.project_id = p.project_id AND pr = '4') ELSE core END AS core
+    FROM p, (VALUES ('app.deps:verify_access', NULL), ('app.models:Base', TRUE), ('app.schemas:OrderCreate.check_note', FALSE)) AS t(id, core)
+    UNION ALL SELECT project_id, 'app.deps:require_admin', TRUE FROM p WHERE project_id NOT IN (SELECT project_id FROM h WHERE pr IN ('1', '2'))""")
+def core_nodes(spark, sf_dir):
+    """Plain functions and classes: core where they touch a core node."""
+    nodes, edges = code_graph(spark, sf_dir)
+    plain = graph.select_nodes(nodes, ["Function", "Class"]).select("project_id", "id")
+    return graph.core_nodes(nodes, edges).join(plain, ["project_id", "id"], "left_semi")
+
+
+@registered(_ROWS + "SELECT project_id, 'app.routes.c' || c_custkey || ':router' AS owner, CASE WHEN mounted THEN '/api' ELSE '' END || '/c' || c_custkey AS prefix, mounted FROM f")
+def include_chains(spark, sf_dir):
+    return include_chains_of(*code_graph(spark, sf_dir))
+
+
+@registered(_ROWS + "SELECT project_id, file AS path, handler FROM h")
+def streamed_handlers(spark, sf_dir):
+    """All files arrive as a stream; the routes of the stored facts."""
+    folder = f"{shared_dir(spark).rstrip('/')}/apiloom-stream-{uuid.uuid4().hex}"
+    sources(spark, sf_dir).withColumn("deleted", F.lit(False)).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    refresh.stream_refresh(stream, f"{folder}/facts", f"{folder}/checkpoint").awaitTermination()
+    return refresh.stored_facts(spark, f"{folder}/facts").where("kind = 'route'").select("project_id", "path", F.col("owner").alias("handler"))
+
+
 @registered(_ROWS + "SELECT project_id, count(*) + 2 AS lines FROM h GROUP BY 1")
 def report_routes(spark, sf_dir):
     """Lines with a bar in each project's report: its routes, and the table's head."""
