@@ -17,6 +17,7 @@ from apiloom.llm.common import small_batches, written
 
 BUCKETS = 1 << 20
 CACHED_WORDS = 500_000
+LEAST_STEPS = 250
 
 #: text -> hashed features, each named once
 Features = Callable[[str], np.ndarray]
@@ -52,33 +53,37 @@ class FactorizationMachine:
     def scores(self, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows, columns, n)[0], -30, 30)))
 
-    def fit(self, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, rounds: int, l2: float, step: float) -> None:
-        """Adam on the whole bounded sample."""
-        n, m = len(labels), len(self.terms)
+    def fit(self, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, epochs: int, l2: float, step: float, batch: int = 512) -> None:
+        """Adam on batches of the bounded sample, at least LEAST_STEPS of them. ``rows`` is sorted."""
+        n, m, rank = len(labels), len(self.terms), self.factors.shape[1]
         rate = (labels.sum() + 0.5) / (n + 1)
         self.bias = math.log(rate / (1 - rate))
-        state = [np.zeros_like(x, dtype=float) for x in (np.zeros(1), self.weights, self.factors) for _ in range(2)]
-        for t in range(1, rounds + 1):
-            raw, sums = self.margins(rows, columns, n)
-            off = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels) / n
-            each = off[rows]
-            v = self.factors[columns]
-            slope = each[:, None] * (sums[rows] - v)
-            grads = [
-                np.array([off.sum()]),
-                np.bincount(columns, each, m) + l2 * self.weights,
-                np.column_stack([np.bincount(columns, slope[:, f], m) for f in range(v.shape[1])]) + 10 * l2 * self.factors,
-            ]
-            for k, grad in enumerate(grads):
-                state[2 * k] += 0.1 * (grad - state[2 * k])
-                state[2 * k + 1] += 0.01 * (grad * grad - state[2 * k + 1])
-                move = step * (state[2 * k] / (1 - 0.9**t)) / (np.sqrt(state[2 * k + 1] / (1 - 0.99**t)) + 1e-8)
-                if k == 0:
-                    self.bias -= float(move[0])
-                elif k == 1:
-                    self.weights -= move
-                else:
-                    self.factors -= move
+        begin = np.searchsorted(rows, np.arange(n + 1))
+        rng = np.random.default_rng(3)
+        state = [[np.zeros(s), np.zeros(s)] for s in (1, m, (m, rank))]
+        values = [np.array([self.bias]), self.weights, self.factors]
+        t = 0
+        for _ in range(max(epochs, -(-LEAST_STEPS // -(-n // batch)))):
+            order = rng.permutation(n)
+            for at in range(0, n, batch):
+                t += 1
+                chosen = order[at : at + batch]
+                size = begin[chosen + 1] - begin[chosen]
+                own = np.repeat(np.arange(len(chosen)), size)
+                c = columns[np.repeat(begin[chosen] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                raw, sums = self.margins(own, c, len(chosen))
+                off = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[chosen]) / len(chosen)
+                slope = off[own][:, None] * (sums[own] - self.factors[c])
+                grads = [
+                    np.array([off.sum()]),
+                    np.bincount(c, off[own], m) + l2 * self.weights,
+                    np.column_stack([np.bincount(c, slope[:, f], m) for f in range(rank)]) + 10 * l2 * self.factors,
+                ]
+                for (first, second), grad, value in zip(state, grads, values, strict=True):
+                    first += 0.1 * (grad - first)
+                    second += 0.01 * (grad * grad - second)
+                    value -= step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+                self.bias = float(values[0][0])
 
 
 @dataclass(frozen=True)
@@ -90,9 +95,9 @@ class FitLimits:
     max_row_terms: int = 20_000
     least_z: float = 3.5
     rank: int = 8
-    rounds: int = 250
+    epochs: int = 15
     l2: float = 5e-6
-    step: float = 0.05
+    step: float = 0.03
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, make: Callable[[], Features], limits: FitLimits) -> FactorizationMachine:
@@ -134,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, make: Cal
     columns = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
     if len(y):
-        model.fit(np.repeat(np.arange(len(y)), sizes), columns, y, limits.rounds, limits.l2, limits.step)
+        model.fit(np.repeat(np.arange(len(y)), sizes), columns, y, limits.epochs, limits.l2, limits.step)
     return model
 
 
