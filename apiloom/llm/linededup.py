@@ -27,7 +27,7 @@ def dedup_lines(docs: DataFrame, lines: int = 3) -> DataFrame:
     empty line. Rows that agree in doc_id and text count as one document and get equal results; a null doc_id sorts
     first. Other columns pass through; one named n_lines or n_removed is replaced. An empty table gives no rows.
     """
-    runs = line_windows(docs.select("doc_id", "text").distinct(), lines)
+    runs = line_windows(docs.select("doc_id", "text"), lines)
     place = F.struct(F.col("doc_id"), F.col("text_key"), F.col("pos"))
     first = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = runs.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
