@@ -183,7 +183,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 20_000, rows_a
     once for each content. An anchor with more than ``hot`` contents is not gathered in one task: its strings are
     counted one by one, by 128-bit hashes, with partial sums.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 256)
     kind = "long"
     keyed = _keyed(docs)
 
