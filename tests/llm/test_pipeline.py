@@ -1,11 +1,15 @@
 """The stages of the corpus pipeline, one after another, against what each promises."""
 
+import random
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from apiloom.llm.common import read_table
 from apiloom.llm.decontam import contaminated
 from apiloom.llm.queries import op1_toxicity
+from tests.llm.test_dedup import brute_fingerprint
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,6 +39,43 @@ def test_stages(spark, tmp_path):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+def test_near_dedup_equals_brute_force(spark):
+    """Near copies whose fingerprints differ in more than four bits go as well, and nothing below the similarity."""
+    docs = read_table(spark, SF, "documents")
+    texts = [r.text for r in docs.where("n_chars between 400 and 2000").orderBy("doc_id").limit(12).collect()]
+    rng = random.Random(3)
+    made = []
+    for k, text in enumerate(texts):
+        for copy in range(4):
+            w = text.split()
+            for _ in range(copy * len(w) // 100):
+                w[rng.randrange(len(w))] = f"changed{rng.random()}"
+            made.append((10_000_000 + 10 * k + copy, " ".join(w), "en", "s", len(text)))
+    docs = docs.unionByName(spark.createDataFrame(made, docs.schema)).localCheckpoint()
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in rows}
+    ids, having, label = sorted(sets), defaultdict(list), {d: d for d in sets}
+
+    def root(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    far = 0
+    for d in ids:
+        both = Counter(o for s in sets[d] for o in having[s])
+        for other, n in both.items():
+            if n >= 0.8 * len(sets[d] | sets[other]):
+                a, b = root(d), root(other)
+                label[max(a, b)] = min(a, b)
+                far += (brute_fingerprint(" ".join(x.decode() for x in dict(rows)[d])) ^ brute_fingerprint(" ".join(x.decode() for x in dict(rows)[other]))).bit_count() > 4
+        for s in sets[d]:
+            having[s].append(d)
+    want = {d for d in ids if root(d) == d}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert far > 10 and len(want) < len(ids) and kept == want
+
+
 def test_an_empty_corpus_passes(spark, tmp_path):
     docs = read_table(spark, SF, "documents").limit(0)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
