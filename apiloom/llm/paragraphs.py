@@ -11,13 +11,20 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from apiloom.llm.common import small_batches, written
 from apiloom.llm.components import connected_components
 from apiloom.llm.suffixes import _keyed, _packed
 
-#: A line of more words than this is cut into paragraphs at ends of sentences that its own words choose.
+#: A line of more words than this is cut into pieces where its own words choose.
 LONG_LINE = 24
+#: A cut has the least hash of two words among so many words on either side; cuts are 11 words apart on average.
+REACH = 5
+#: A piece that stays longer (words that recur in a short period) is cut again, STRIDE words after each cut.
+LONGEST, STRIDE = 32, 12
+#: Words beside a piece that are compared with those beside its keeper. No piece is longer.
+BESIDE = 32
 CACHED_WORDS = 500_000
 _TIMES = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
@@ -28,12 +35,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """XXH64 of words; the lowest bit says that a paragraph of a long line may end after the word."""
+    """XXH64 of words."""
 
     def __missing__(self, word: str) -> int:
         x = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        ends = word[-1] in ".!?" and x >> 1 & 1
-        x = x | 1 if ends else x & ~1
         if len(self) > CACHED_WORDS:
             self.clear()
         if len(word) <= 60:
@@ -49,14 +54,16 @@ class Paragraphs:
     text: np.ndarray  # of each paragraph: its text's row,
     start: np.ndarray  # its first word among the batch's,
     size: np.ndarray  # its words,
-    place: np.ndarray  # and its first word among its text's
+    place: np.ndarray  # its first word among its text's,
+    whole: np.ndarray | None = None  # and whether it is a whole long line, given beside its pieces
 
     @classmethod
-    def of(cls, texts: list[str | None], known: WordHashes, least_words: int) -> Paragraphs:
-        """Lines are paragraphs; a long line is cut after about every other sentence.
+    def of(cls, texts: list[str | None], known: WordHashes, least_words: int, whole_lines: bool = False) -> Paragraphs:
+        """Lines are paragraphs; a long line is cut at words whose hash is the least of those around.
 
-        Where it is cut depends on the last word before the cut alone, so a passage that stands within two different lines is
-        cut alike in both, apart from its ends. Paragraphs of fewer than ``least_words`` words are left out.
+        Where it is cut depends on a few words around the cut alone, so a passage that stands within two different lines is
+        cut alike in both, apart from its ends. Paragraphs of fewer than ``least_words`` words are left out. With
+        ``whole_lines``, long lines are given uncut as well, each before its pieces.
         """
         words: list[int] = []
         lines: list[int] = []
@@ -70,14 +77,34 @@ class Paragraphs:
                     lines.append(len(parts))
             per_text.append(len(words) - before)
         w, sizes = np.array(words, np.uint64), np.array(lines, np.int64)
-        ends = ((w & np.uint64(1)) == 1) & np.repeat(sizes > LONG_LINE, sizes)
-        ends[np.cumsum(sizes) - 1] = True
+        stops = np.cumsum(sizes)
+        ends = np.repeat(sizes > LONG_LINE, sizes)
+        line = np.repeat(np.arange(len(sizes)), sizes)
+        x = w * _TIMES[0]
+        x[1:] += w[:-1] * _TIMES[1]
+        x = _mixed(x)
+        for k in range(1, REACH + 1):
+            same = line[k:] == line[:-k]
+            ends[k:] &= ~same | (x[k:] < x[:-k])
+            ends[:-k] &= ~same | (x[:-k] <= x[k:])
+        ends[stops - 1] = True
         stop = np.flatnonzero(ends) + 1
         start = np.concatenate((np.zeros(min(1, len(stop)), np.int64), stop[:-1]))
+        parts = np.where(stop - start > LONGEST, -(-(stop - start) // STRIDE), 1)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        stop, start = np.repeat(stop, parts), np.repeat(start, parts) + nth * STRIDE
+        stop = np.where(nth < np.repeat(parts, parts) - 1, start + STRIDE, stop)
+        whole = np.zeros(len(start), bool)
+        if whole_lines:
+            long = sizes > LONG_LINE
+            start, stop = np.concatenate(((stops - sizes)[long], start)), np.concatenate((stops[long], stop))
+            whole = np.arange(len(start)) < long.sum()
+            order = np.lexsort((~whole, start))
+            start, stop, whole = start[order], stop[order], whole[order]
         first = np.cumsum(per_text) - per_text
         text = np.searchsorted(first, start, "right") - 1
         long = stop - start >= least_words
-        return cls(w, text[long], start[long], (stop - start)[long], start[long] - first[text[long]])
+        return cls(w, text[long], start[long], (stop - start)[long], start[long] - first[text[long]], whole[long])
 
     def contents(self) -> np.ndarray:
         """128 bits of each paragraph's words, as two columns."""
@@ -141,11 +168,12 @@ def closest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return np.array([root(i) for i in range(len(sets))], np.int64)
 
 
-def paragraph_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 5, rows: int = 2, least_words: int = 8) -> DataFrame:
+def paragraph_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 5, rows: int = 2, least_words: int = 8, whole_lines: bool = False) -> DataFrame:
     """Every paragraph that has an equal or near-equal one elsewhere, with the keeper of its class.
 
-    Columns: doc_id, no_id, text_key, start and n_words (in words of the text), nth, keeper (doc_id, no_id, text_key,
-    start), kept. Paragraphs of fewer than ``least_words`` words are left alone.
+    Columns: doc_id, no_id, text_key, start and n_words (in words of the text), nth, whole, keeper (doc_id, no_id,
+    text_key, start, n_words), kept. Paragraphs of fewer than ``least_words`` words are left alone. With ``whole_lines``,
+    long lines are compared whole as well as in pieces; a piece of its own keeper is kept.
 
     Equal paragraphs (128 bits of their lower-cased words) are one content, however many documents have it. Contents
     whose minima agree in one of ``bands`` bands collide (five bands of two rows find 99.4 % of pairs at similarity
@@ -160,7 +188,7 @@ def paragraph_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            found = Paragraphs.of(batch.column("text").to_pylist(), known, least_words)
+            found = Paragraphs.of(batch.column("text").to_pylist(), known, least_words, whole_lines)
             if not len(found.start):
                 continue
             content = found.contents()[:, 0]
@@ -173,12 +201,13 @@ def paragraph_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            found = Paragraphs.of(batch.column("text").to_pylist(), known, least_words)
+            found = Paragraphs.of(batch.column("text").to_pylist(), known, least_words, whole_lines)
             content = found.contents()
             take = pa.array(found.text)
-            nth = np.arange(len(found.text)) - np.searchsorted(found.text, found.text, "left")
+            pieces = np.cumsum(~found.whole)
+            nth = pieces - np.concatenate((np.zeros(1, np.int64), pieces))[np.searchsorted(found.text, found.text, "left")]
             own = [batch.column(c).take(take) for c in ("doc_id", "text_key", "no_id")]
-            yield pa.RecordBatch.from_arrays([pa.array(content[:, 0]), pa.array(content[:, 1]), *own, *(pa.array(x.astype(np.int32)) for x in (found.place, found.size, nth))], ["h1", "h2", "doc_id", "text_key", "no_id", "start", "n_words", "nth"])
+            yield pa.RecordBatch.from_arrays([pa.array(content[:, 0]), pa.array(content[:, 1]), *own, *(pa.array(x.astype(np.int32)) for x in (found.place, found.size, nth)), pa.array(found.whole)], ["h1", "h2", "doc_id", "text_key", "no_id", "start", "n_words", "nth", "whole"])
 
     # One shuffle of (band, content) rows tells contents that collide, and contents that occur again. Copies are summed
     # within a batch before; a key's contents are told apart by their least and greatest, so no bucket is gathered.
@@ -187,9 +216,9 @@ def paragraph_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     banded = banded.withColumn("copies", F.sum("n").over(of_content)).withColumn("low", F.min("h1").over(of_key)).withColumn("high", F.max("h1").over(of_key))
     told = written(banded.where("low <> high or copies > 1").select("key", "h1", (F.col("low") != F.col("high")).alias("collides")).distinct())
     several = told.select("h1").distinct()
-    found = keyed.mapInArrow(places, "h1 long, h2 long, doc_id long, text_key long, no_id boolean, start int, n_words int, nth int")
+    found = keyed.mapInArrow(places, "h1 long, h2 long, doc_id long, text_key long, no_id boolean, start int, n_words int, nth int, whole boolean")
     found = written(found.join(several, "h1", "left_semi"))
-    place = F.struct("doc_id", "no_id", "text_key", "start")
+    place = F.struct("doc_id", "no_id", "text_key", "start", "n_words")
     contents = written(found.groupBy("h1", "h2").agg(F.min(place).alias("one"), F.max(place).alias("last"), F.first("n_words").alias("n_words")))
 
     colliding = told.where("collides").select("key", "h1").join(contents.select("h1", "h2"), "h1")
@@ -243,20 +272,93 @@ def paragraph_clusters(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     members = classes.join(keepers, "class").select("h1", "h2", "keeper")
     out = found.join(members, ["h1", "h2"])
     # Distinct at the end, for repeated rows: a shuffle by all columns, which no hot content makes uneven.
-    return out.distinct().select("doc_id", "no_id", "text_key", "start", "n_words", "nth", "keeper", (place == F.col("keeper")).alias("kept"))
+    kept = (F.struct("doc_id", "no_id", "text_key") == F.struct("keeper.doc_id", "keeper.no_id", "keeper.text_key")) & (F.col("start") < F.col("keeper.start") + F.col("keeper.n_words"))
+    return out.distinct().select("doc_id", "no_id", "text_key", "start", "n_words", "nth", "whole", "keeper", kept.alias("kept"))
+
+
+def alike_beside(own: list[int], at: int, size: int, other: list[int], other_at: int, other_size: int) -> tuple[int, int]:
+    """How many words before and after a piece are those beside its near copy, their starts or their ends being aligned."""
+    before = after = 0
+    for shift in {other_at - at, other_at + other_size - at - size}:
+        i = at
+        while i > 0 and 0 < i + shift <= len(other) and own[i - 1] == other[i - 1 + shift]:
+            i -= 1
+        before = max(before, at - i)
+        i = at + size
+        while i < len(own) and 0 <= i + shift < len(other) and own[i] == other[i + shift]:
+            i += 1
+        after = max(after, i - at - size)
+    return before, after
+
+
+def shared_beside(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_key, start, n_words, keeper) with before and after: how many words beside the piece and
+    beside its keeper are the same, up to about BESIDE. In the keeper's own text, its words stay."""
+    own = rows.select("doc_id", "text_key", "start", "n_words")
+    wanted = own.unionByName(rows.select("keeper.doc_id", "keeper.text_key", "keeper.start", "keeper.n_words")).distinct()
+    wanted = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n_words")).alias("wanted"))
+    texts = _packed(_keyed(docs)).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, opened = WordHashes(), zstandard.ZstdDecompressor().decompress
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, key, z, listed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "z", "wanted")), strict=True):
+                w = np.fromiter(map(known.__getitem__, opened(z).decode("utf-8", "surrogatepass").lower().split()), np.uint64).astype(np.uint32).view(np.int32)
+                out += [(doc, key, x["start"], x["n_words"], w[max(0, x["start"] - BESIDE) : x["start"] + x["n_words"] + BESIDE]) for x in listed]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "text_key", "start", "n_words", "around"])
+
+    beside = written(texts.select("doc_id", "text_key", "z", "wanted").mapInArrow(contexts, "doc_id long, text_key long, start int, n_words int, around array<int>"))
+    names = ["doc_id", "text_key", "start", "n_words"]
+    of_keeper = beside.select(*(F.col(c).alias(f"k_{c}") for c in (*names, "around")))
+    both = rows.join(beside, names).join(of_keeper, [F.col(f"keeper.{c}") == F.col(f"k_{c}") for c in names])
+
+    columns = rows.columns
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = ("around", "start", "n_words", "k_around", "k_start", "k_n_words")
+        for batch in batches:
+            found = [alike_beside(o, min(s, BESIDE), n, k, min(ks, BESIDE), kn) for o, s, n, k, ks, kn in zip(*(batch.column(c).to_pylist() for c in taken), strict=True)]
+            ends = [pa.array([x[c] for x in found], pa.int32()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *ends], [*columns, "before", "after"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType())])
+    both = both.select(*rows.columns, "around", "k_around", "k_start", "k_n_words").mapInArrow(compare, schema)
+    within = (F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("no_id") == F.col("keeper.no_id")) & (F.col("text_key") == F.col("keeper.text_key"))
+    room = F.when(within, F.col("start") - F.col("keeper.start") - F.col("keeper.n_words")).otherwise(F.col("before"))
+    return both.withColumn("before", F.greatest(F.lit(0), F.least("before", room)))
 
 
 def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_run: int = 16) -> DataFrame:
-    """(doc_id, start, n_words, keeper_doc_id, keeper_start): a row for each paragraph to remove, in words of its text.
+    """(doc_id, start, n_words, keeper_doc_id, keeper_start): ranges to remove, in words of their text, none twice.
 
-    What is removed is a run of neighbouring near duplicates of at least ``least_run`` words; a single short line that
-    documents share, such as a heading, stays (``least_run=0`` removes it too).
+    Near copies of short lines go whole; of long lines, the pieces that have a near copy, each with the words beside it
+    that its keeper has beside it too, so a passage goes from end to end. A piece belongs to a run of neighbouring pieces
+    that have copies (those that are kept count); of runs of fewer than ``least_run`` words none is removed, so that a
+    short line that documents share, such as a heading, stays (``least_run=0`` removes it too).
 
     A null or empty text has no paragraphs. Rows that agree in doc_id and text count as one document; a null doc_id is
     kept. Other columns are ignored. An empty table gives no rows.
     """
-    rows = paragraph_clusters(docs, words, similarity).where("not kept")
-    run = F.col("nth") - F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("nth"))
-    rows = rows.withColumn("run", run).withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "text_key", "run")))
+    rows = paragraph_clusters(docs, words, similarity)
+    if least_run > 0:
+        run = F.col("nth") - F.row_number().over(Window.partitionBy("doc_id", "text_key", "whole").orderBy("nth"))
+        rows = rows.withColumn("run", run).withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "text_key", "whole", "run"))).where(F.col("run_words") >= least_run)
+    rows = rows.where("not kept").select("doc_id", "no_id", "text_key", "start", "n_words", "whole", "keeper")
+    ordered = Window.partitionBy("doc_id", "text_key").orderBy("start", F.desc("n_words"))
+    covered = F.max(F.when(F.col("whole"), F.col("start") + F.col("n_words"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("covered", F.coalesce(covered, F.lit(0))).where("start >= covered").drop("covered")
+    end = F.col("start") + F.col("n_words")
+    rows = rows.withColumn("next", F.lead("start").over(ordered)).withColumn("last", F.lag(end).over(ordered))
+    rows = written(rows)
+    # Whole lines end where they end, and pieces between removed neighbours have nothing beside them.
+    open_end = ~F.col("whole") & (F.coalesce(F.col("next") > end, F.lit(True)) | F.coalesce(F.col("last") < F.col("start"), F.lit(True)))
+    rows = shared_beside(docs, rows.where(open_end)).unionByName(rows.where(~open_end).withColumns({"before": F.lit(0), "after": F.lit(0)}))
+    rows = rows.withColumn("end", F.least(end + F.col("after"), F.coalesce("next", F.lit((1 << 31) - 1))))
+    begin = F.greatest(F.col("start") - F.col("before"), F.coalesce(F.lag("end").over(ordered), F.lit(0)))
+    rows = rows.withColumn("begin", begin)
     real = lambda no_id, doc: F.when(~F.col(no_id), F.col(doc))
-    return rows.where(F.col("run_words") >= least_run).select(real("no_id", "doc_id").alias("doc_id"), "start", "n_words", real("keeper.no_id", "keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"))
+    keeper_start = F.col("keeper.start") - (F.col("start") - F.col("begin"))
+    return rows.select(real("no_id", "doc_id").alias("doc_id"), F.col("begin").alias("start"), (F.col("end") - F.col("begin")).alias("n_words"), real("keeper.no_id", "keeper.doc_id").alias("keeper_doc_id"), keeper_start.alias("keeper_start"))

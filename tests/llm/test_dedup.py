@@ -212,6 +212,32 @@ def test_short_shared_lines_stay_and_passages_go(spark):
     assert {r.doc_id for r in short} == set(range(1, 12))
 
 
+def removed_words(spark, texts, **options):
+    got = repeated_paragraphs(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3), **options).collect()
+    gone = defaultdict(set)
+    for r in got:
+        new = set(range(r.start, r.start + r.n_words))
+        assert not new & gone[r.doc_id] and max(new) < len(texts[r.doc_id].split())
+        gone[r.doc_id] |= new
+    return gone
+
+
+def test_a_passage_inside_lines_goes_from_end_to_end(spark):
+    """Sixty words without any punctuation, between other words of the same line."""
+    rng = random.Random(6)
+    texts, want = [], {}
+    for k in range(40):
+        passage = words(rng, 60)
+        for copy in range(2):
+            before = rng.randint(15, 40)
+            texts.append(f"{words(rng, before)} {passage} {words(rng, 30)}")
+            want[len(texts) - 1] = set(range(before, before + 60)) if copy else set()
+    gone = removed_words(spark, texts, least_run=0)
+    assert sum(gone[d] >= w for d, w in want.items() if w) >= 38 and not any(gone[d] for d, w in want.items() if not w)
+    # A piece at the passage's end that is near enough to its keeper's goes whole, with a foreign word or two.
+    assert all(len(gone[d] - w) <= 6 for d, w in want.items())
+
+
 def test_paragraphs_cover_a_text():
     text = "One two. Three four! " * 40 + "\n\nlast line"
     parts = cut(text, 1)
