@@ -334,7 +334,7 @@ def shared_beside(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_run: int = 16) -> DataFrame:
     """(doc_id, start, n_words, keeper_doc_id, keeper_start): ranges to remove, in words of their text, none twice.
 
-    Near copies of short lines go whole; of long lines, the pieces that have a near copy, each with the words beside it
+    Near copies of lines go whole; of other long lines, the pieces that have a near copy, each with the words beside it
     that its keeper has beside it too, so a passage goes from end to end. A piece belongs to a run of neighbouring pieces
     that have copies (those that are kept count); of runs of fewer than ``least_run`` words none is removed, so that a
     short line that documents share, such as a heading, stays (``least_run=0`` removes it too).
@@ -342,7 +342,7 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8
     A null or empty text has no paragraphs. Rows that agree in doc_id and text count as one document; a null doc_id is
     kept. Other columns are ignored. An empty table gives no rows.
     """
-    rows = paragraph_clusters(docs, words, similarity)
+    rows = paragraph_clusters(docs, words, similarity, whole_lines=True)
     if least_run > 0:
         run = F.col("nth") - F.row_number().over(Window.partitionBy("doc_id", "text_key", "whole").orderBy("nth"))
         rows = rows.withColumn("run", run).withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "text_key", "whole", "run"))).where(F.col("run_words") >= least_run)

@@ -238,6 +238,23 @@ def test_a_passage_inside_lines_goes_from_end_to_end(spark):
     assert all(len(gone[d] - w) <= 6 for d, w in want.items())
 
 
+def test_near_copies_of_lines_go_whole(spark):
+    """One word of 60 to 120 replaced leaves a similarity of 0.8 or more; the keeper stays, repeats within a text too."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        parts = words(rng, rng.randint(60, 120)).split()
+        texts.append(words(rng, 12) + "\n" + " ".join(parts))
+        parts[rng.randrange(len(parts))] = "replaced"
+        texts.append(words(rng, 12) + "\n" + " ".join(parts) + "\n" + words(rng, 9))
+    gone = removed_words(spark, texts, least_run=0)
+    assert sum(gone[d] == set(range(12, len(texts[d].split()) - 9)) for d in range(1, 80, 2)) >= 39
+    assert not any(gone[d] for d in range(0, 80, 2))
+    line = words(rng, 26)
+    gone = removed_words(spark, [f"{line}\n{line}\n{line} q r", "x y " + line], least_run=0)
+    assert gone[0].isdisjoint(range(26)) and gone[0] >= set(range(26, 52)) and gone[1] >= set(range(2, 28))
+
+
 def test_paragraphs_cover_a_text():
     text = "One two. Three four! " * 40 + "\n\nlast line"
     parts = cut(text, 1)
