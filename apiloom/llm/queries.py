@@ -35,7 +35,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(documents(spark, sf_dir), words=5, similarity=0.8)
+    return repeated_paragraphs(documents(spark, sf_dir), words=5, similarity=0.8, least_run=0)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

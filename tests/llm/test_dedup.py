@@ -11,6 +11,7 @@ import xxhash
 from apiloom.llm.components import connected_components
 from apiloom.llm.linededup import dedup_lines
 from apiloom.llm.paragraphs import Paragraphs, WordHashes, paragraph_clusters, repeated_paragraphs
+from apiloom.llm.queries import op3_paragraph_dedup
 from apiloom.llm.simhash import drop_near_duplicates, linked_within, near_duplicates
 from apiloom.llm.suffixes import drop_repeats
 
@@ -255,6 +256,15 @@ def test_near_copies_of_lines_go_whole(spark):
     assert gone[0].isdisjoint(range(26)) and gone[0] >= set(range(26, 52)) and gone[1] >= set(range(2, 28))
 
 
+def test_the_query_takes_single_short_lines(spark, tmp_path):
+    rng = random.Random(5)
+    line = words(rng, 10)
+    rows = [(i, f"{words(rng, 20)}\n{line}\n{words(rng, 20)}") for i in range(3)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op3_paragraph_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.start, r.n_words) for r in got) == [(1, 20, 10), (2, 20, 10)]
+
+
 def test_paragraphs_cover_a_text():
     text = "One two. Three four! " * 40 + "\n\nlast line"
     parts = cut(text, 1)
