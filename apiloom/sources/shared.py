@@ -7,13 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+OWN = "apiloom-"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests), an own folder."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a local session (tests) gets an own folder; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -25,6 +29,16 @@ def written(df: DataFrame) -> DataFrame:
     Cuts the lineage: an executor lost later costs no recomputation of what stands before this table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/apiloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{OWN}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {p.rsplit("/", 1)[0] for p in table.inputFiles()}:
+            if path.rsplit("/", 1)[-1].startswith(OWN):
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
