@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.sources.shared import shared_dir, written
+from apiloom.sources.shared import released, shared_dir, written
 
-__all__ = ["read_table", "shared_dir", "small_batches", "text_key", "written"]
+__all__ = ["keyed", "read_table", "released", "shared_dir", "small_batches", "text_key", "written"]
+
+#: What one Arrow batch that goes to a Python worker holds, unless a single row is larger.
+BATCH_BYTES = 8 << 20
+_BATCH_OPTION = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,6 +25,14 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text, no_id): null ids become 0, which the key of the text tells from a real 0."""
+    no_id = F.col("doc_id").isNull()
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.xxhash64(no_id, F.col("text")).alias("text_key"), "text", no_id.alias("no_id"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound an Arrow batch by its bytes, the same for all operators; a lower bound that the session has stays."""
+    found = (spark.conf.get(_BATCH_OPTION) or "").rstrip("bB")
+    if not found.isdigit() or int(found) > BATCH_BYTES:
+        spark.conf.set(_BATCH_OPTION, BATCH_BYTES)

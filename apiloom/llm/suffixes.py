@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import small_batches, written
+from apiloom.llm.common import keyed, small_batches, written
 
 GRAM = 24
 _PLACE_BITS = 28
@@ -157,12 +157,6 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, text, no_id): null ids become 0, which the key of the text tells from a real 0."""
-    no_id = F.col("doc_id").isNull()
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.xxhash64(no_id, F.col("text")).alias("text_key"), "text", no_id.alias("no_id"))
-
-
 def _packed(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, z, no_id): texts compressed for the shuffles."""
 
@@ -183,9 +177,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 20_000, rows_a
     once for each content. An anchor with more than ``hot`` contents is not gathered in one task: its strings are
     counted one by one, by 128-bit hashes, with partial sums.
     """
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     kind = "long"
-    keyed = _keyed(docs)
+    texts = keyed(docs)
 
     def runs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         data, offsets = text_bytes(batch.column("text"))
@@ -213,18 +207,18 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 20_000, rows_a
             yield pa.RecordBatch.from_arrays([pa.array(anchor[order]), pa.array(content[order]), batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(where[order]), pa.array(n)], ["anchor", "content", "doc_id", "text_key", "place", "n"])
 
     run = f"anchor long, content long, doc_id {kind}, text_key long, place long"
-    contents = keyed.mapInArrow(counted_runs, run + ", n long").repartition("anchor")
+    contents = texts.mapInArrow(counted_runs, run + ", n long").repartition("anchor")
     contents = contents.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("one"))
     contents = contents.withColumn("of_anchor", F.expr("count(*) over (partition by anchor)")).where("n > 1 or of_anchor > 1")
     contents = written(contents.select("anchor", "content", "n", "of_anchor", "one.*"))
 
     whole = contents.where("n > 1").select("anchor", "content")
-    runs = keyed.mapInArrow(all_runs, run)
+    runs = texts.mapInArrow(all_runs, run)
     start, n = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
     spans = runs.join(whole, ["anchor", "content"], "left_semi").select("doc_id", "text_key", start.alias("a"), (start + n - 1 + length).alias("b"))
 
     wanted = contents.where("of_anchor > 1").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "anchor", "n", (F.col("of_anchor") > hot).alias("hot"))).alias("runs"))
-    rows = _packed(keyed).dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"])
+    rows = _packed(texts).dropDuplicates(["doc_id", "text_key"]).join(wanted, ["doc_id", "text_key"])
     piece = f"anchor long, doc_id {kind}, text_key long, start long, n int, lead int, once boolean, piece binary, w array<struct<x: long, y: long>>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +311,7 @@ def drop_repeats(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataF
     copy of the other; a null doc_id is kept. Other columns are ignored. An empty table gives no rows.
     """
     found = written(repeated_spans(docs.select("doc_id", "text"), length, hot))
-    rows = _packed(_keyed(docs)).join(found, ["doc_id", "text_key"], "left").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "z", "spans")
+    rows = _packed(keyed(docs)).join(found, ["doc_id", "text_key"], "left").select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "z", "spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor().decompress

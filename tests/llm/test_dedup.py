@@ -10,7 +10,7 @@ import xxhash
 
 from apiloom.llm.components import connected_components
 from apiloom.llm.linededup import dedup_lines
-from apiloom.llm.paragraphs import Paragraphs, WordHashes, paragraph_clusters, repeated_paragraphs
+from apiloom.llm.paragraphs import Paragraphs, WordHashes, hashed_texts, hashed_words, paragraph_clusters, repeated_paragraphs
 from apiloom.llm.queries import op3_paragraph_dedup
 from apiloom.llm.simhash import drop_near_duplicates, linked_within, near_duplicates
 from apiloom.llm.suffixes import drop_repeats
@@ -165,10 +165,15 @@ def test_lines_equal_brute_force(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def paragraphs(texts, least):
+    made = [hashed_words(t, WordHashes()) for t in texts]
+    return Paragraphs.of(*(np.concatenate([m[i] for m in made]) for i in (0, 1)), np.array([len(m[0]) for m in made]), least)
+
+
 def cut(text, least):
     parts = (text or "").lower().split()
-    found = Paragraphs.of([text], WordHashes(), least)
-    return [(a, parts[a : a + n]) for a, n in zip(found.place.tolist(), found.size.tolist(), strict=True)]
+    found = paragraphs([text], least)
+    return [(a, parts[a : a + n]) for a, n, whole in zip(found.place.tolist(), found.size.tolist(), found.whole.tolist(), strict=True) if not whole]
 
 
 def test_paragraph_classes_equal_brute_force(spark):
@@ -194,7 +199,7 @@ def test_paragraph_classes_equal_brute_force(spark):
             break
     sizes = Counter(label)
     want = {(d, at) for (d, _, at, _), c in zip(placed, label, strict=True) if sizes[c] > 1}
-    got = paragraph_clusters(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    got = paragraph_clusters(hashed_texts(spark.createDataFrame(rows, SCHEMA).repartition(3))).where("not whole or n_words <= 24").collect()
     found = {(None if r.no_id else r.doc_id, r.start) for r in got}
     assert found <= want and len(found) >= 0.98 * len(want)
     assert len({(r.keeper.doc_id, r.keeper.start) for r in got}) == len({label[i] for i, (d, _, at, _) in enumerate(placed) if (d, at) in found})
@@ -256,20 +261,36 @@ def test_near_copies_of_lines_go_whole(spark):
     assert gone[0].isdisjoint(range(26)) and gone[0] >= set(range(26, 52)) and gone[1] >= set(range(2, 28))
 
 
-def test_the_query_takes_single_short_lines(spark, tmp_path):
+def test_the_query_takes_passages_and_leaves_short_lines(spark, tmp_path):
     rng = random.Random(5)
-    line = words(rng, 10)
-    rows = [(i, f"{words(rng, 20)}\n{line}\n{words(rng, 20)}") for i in range(3)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    line, longer, around = words(rng, 10), words(rng, 26), lambda: words(rng, 20)
+    rows = [(i, f"{around()}\n{line}\n{around()}\n{longer}") for i in range(3)]
+    for i in range(3, 43):
+        passage = words(rng, 51) if i % 2 else passage
+        rows.append((i, f"{around()} {passage} {around()}"))
+    spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA + ", keeper string, start int, h1 int").write.parquet(str(tmp_path / "documents.parquet"))
     got = op3_paragraph_dedup(spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id, r.start, r.n_words) for r in got) == [(1, 20, 10), (2, 20, 10)]
+    assert sorted((r.doc_id, r.start, r.n_words) for r in got if r.doc_id < 3) == [(1, 50, 26), (2, 50, 26)]
+    gone = defaultdict(set)
+    for r in got:
+        gone[r.doc_id] |= set(range(r.start, r.start + r.n_words))
+    assert sum(gone[i] >= set(range(20, 71)) for i in range(4, 43, 2)) >= 19 and not any(gone[i] for i in range(3, 43, 2))
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("apiloom.llm.paragraphs.BLOCK", 3)
+    rng = random.Random(7)
+    base = words(rng, 60).split()
+    rows = [(i, " ".join([*base[:29], words(rng, 1), *base[30:]])) for i in range(30)]
+    got = paragraph_clusters(hashed_texts(spark.createDataFrame(rows, SCHEMA).repartition(3))).where("whole").collect()
+    assert {r.doc_id for r in got} == set(range(30)) and {r.keeper.doc_id for r in got} == {0}
 
 
 def test_paragraphs_cover_a_text():
     text = "One two. Three four! " * 40 + "\n\nlast line"
     parts = cut(text, 1)
     assert [w for _, p in parts for w in p] == text.lower().split() and parts[-1][1] == ["last", "line"] and len(parts) > 10
-    batch = Paragraphs.of(["", "a b c d e f g h", None, "x " + "a b c d e f g h"], WordHashes(), 8)
+    batch = paragraphs(["", "a b c d e f g h", None, "x " + "a b c d e f g h"], 8)
     assert batch.text.tolist() == [1, 3] and len({tuple(c) for c in batch.contents().tolist()}) == 2
-    twice = Paragraphs.of(["q\na b c d e f g h", "a b c d e f g h\nz", "b a c d e f g h"], WordHashes(), 8)
+    twice = paragraphs(["q\na b c d e f g h", "a b c d e f g h\nz", "b a c d e f g h"], 8)
     assert len({tuple(c) for c in twice.contents().tolist()}) == 2 and twice.place.tolist() == [1, 0, 0]
