@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apiloom.llm.common import small_batches, written
+from apiloom.llm.common import released, small_batches, written
 
 BUCKETS = 1 << 20
 CACHED_WORDS = 500_000
@@ -88,24 +88,81 @@ class FactorizationMachine:
 
 @dataclass(frozen=True)
 class FitLimits:
-    """What fitting may hold: sampled labelled rows, terms of the model, features kept of one sampled text."""
+    """What fitting may hold: sampled labelled rows; terms of the model, by their own lift and by that of pairs.
+
+    Pairs are sought among the ``pair_terms`` terms that most sampled rows have.
+    """
 
     max_rows: int = 20_000
     max_terms: int = 4_096
-    max_row_terms: int = 20_000
     least_z: float = 3.5
+    pair_terms: int = 1_024
+    max_pairs: int = 512
+    least_pair_z: float = 6.0
     rank: int = 8
     epochs: int = 15
     l2: float = 5e-6
     step: float = 0.03
 
 
+#: Partitions over which pairs are counted, each with one matrix of pair_terms x pair_terms.
+PAIR_TASKS, ROWS_AT_ONCE = 16, 512
+
+
+def pair_terms(rows: DataFrame, p: np.ndarray, n: np.ndarray, terms: np.ndarray, base: float, limits: FitLimits) -> list[int]:
+    """Terms of the pairs whose labels depart most from what both terms tell by themselves.
+
+    ``rows`` (y, terms) is the sample, ``base`` its log odds; ``terms`` is sorted; p and n count the rows of label 1 and 0
+    with each. Tasks count the rows that hold both terms of a pair by matrix products; the counts are summed and judged term by term. A pair's
+    rows are expected to have the log odds of the base, moved by what either term moves it; what stands
+    ``least_pair_z`` deviations away is taken, the strongest ``max_pairs`` of them.
+    """
+    k = len(terms)
+    if k < 2:
+        return []
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, positive = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+        for batch in batches:
+            for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                lists = part.column("terms")
+                flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                at = np.minimum(np.searchsorted(terms, flat), k - 1)
+                own = terms[at] == flat
+                x = np.zeros((part.num_rows, k), np.float32)
+                x[row[own], at[own]] = 1
+                both += x.T @ x
+                ones = x[part.column("y").to_numpy() == 1]
+                positive += ones.T @ ones
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (both, positive))], ["at", "both", "positive"])
+
+    lift = np.log((p + 0.5) / (n + 0.5))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for at, *found in zip(*(batch.column(c).to_pylist() for c in ("at", "both", "positive")), strict=True):
+                own = [np.frombuffer(x, np.float32).astype(np.float64) for x in found]
+                sums[at] = [a + b for a, b in zip(sums[at], own, strict=True)] if at in sums else own
+        for at, (both, positive) in sums.items():
+            q = 1 / (1 + np.exp(-np.clip(lift[at] + lift - base, -30, 30)))
+            z = np.abs(positive - both * q) / np.sqrt(np.maximum(both * q * (1 - q), 0.5))
+            # Of terms that nearly always come together, such as a word and its beginning, the pair tells nothing new.
+            own = np.flatnonzero((z >= limits.least_pair_z) & (both >= 10) & (both < 0.9 * np.minimum(p[at] + n[at], p + n)) & (np.arange(k) > at))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), terms[at])), pa.array(terms[own]), pa.array(z[own])], ["a", "b", "z"])
+
+    parts = rows.select("y", "terms").coalesce(PAIR_TASKS).mapInArrow(counted, "at int, both binary, positive binary")
+    found = parts.repartition("at").mapInArrow(judged, "a long, b long, z double")
+    return [t for r in found.orderBy(F.desc("z"), "a", "b").limit(limits.max_pairs).collect() for t in (r.a, r.b)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, make: Callable[[], Features], limits: FitLimits) -> FactorizationMachine:
     """Fit on at most ``limits.max_rows`` labelled documents: those whose id has the least hash, of the rows ``train`` holds for.
 
-    The sample is bounded, so it may be broadcast. Features are made and counted on the executors; only terms whose
-    log odds ratio stands ``least_z`` deviations from zero enter the model, at most ``max_terms``. What the driver gets
-    is the sample reduced to these terms.
+    The sample is bounded, so it may be broadcast. Features of the whole texts are made and counted on the executors. A
+    term enters the model for its own lift (a log odds ratio ``least_z`` deviations from zero, at most ``max_terms``) or
+    for that of a pair (see ``pair_terms``), so words that tell something only together are met as well. What the
+    driver gets is the sample reduced to these terms.
     """
     small_batches(docs.sparkSession)
     chosen = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(train & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -115,16 +172,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, make: Cal
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = make()
         for batch in batches:
-            made = [features(t)[: limits.max_row_terms] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(made, pa.list_(pa.int32()))], ["y", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["y", "terms"])
 
     rows = written(sample.mapInArrow(featurize, "y int, terms array<int>"))
     total = rows.agg(F.count(F.when(F.col("y") == 1, 1)).alias("p"), F.count(F.when(F.col("y") == 0, 1)).alias("n")).first()
     p, n = F.col("p") + 0.5, F.col("n") + 0.5
     other_p, other_n = F.lit(total.p) - F.col("p") + 0.5, F.lit(total.n) - F.col("n") + 0.5
     z = F.abs(F.log(p * other_n / (n * other_p))) / F.sqrt(1 / p + 1 / n + 1 / other_p + 1 / other_n)
-    counted = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    terms = [r.term for r in counted.where((p + n > 3) & (z >= limits.least_z)).orderBy(z.desc(), "term").limit(limits.max_terms).select("term").collect()]
+    counted = written(rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).where(p + n > 3))
+    own = [r.term for r in counted.where(z >= limits.least_z).orderBy(z.desc(), "term").limit(limits.max_terms).select("term").collect()]
+    common = sorted(counted.orderBy((p + n).desc(), "term").limit(limits.pair_terms).collect(), key=lambda r: r.term) if total.p and total.n else []
+    paired = pair_terms(rows, *(np.array([r[c] for r in common], float) for c in ("p", "n")), np.array([r.term for r in common], np.int64), math.log(total.p / total.n), limits) if common else []
+    terms = sorted({*own, *paired})
     model = FactorizationMachine(np.array(terms, np.int64), limits.rank)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, make: Cal
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32()))], ["y", "columns"])
 
     got = rows.mapInArrow(reduce, "y int, columns array<int>").toArrow()
+    released(rows, counted)
     y = got.column("y").to_numpy().astype(float)
     lists = got.column("columns").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.array([], pa.list_(pa.int32()))

@@ -63,6 +63,23 @@ def test_pairs_are_learnt():
     assert ((model.scores(rows, columns, 600) > 0.5) == labels).mean() == 1.0
 
 
+def test_only_a_pair_tells(spark):
+    """The label is that exactly one of two words stands in the text: neither tells anything by itself."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 4)))
+    pool, rows, labels = [word() for _ in range(400)], [], []
+    for i in range(3600):
+        have = [rng.random() < 0.5, rng.random() < 0.5]
+        parts = [*rng.choices(pool, k=30), *(w for w, h in zip(("zork", "quux"), have, strict=True) if h)]
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+        labels.append((i, int(have[0] != have[1])))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels, F.col("doc_id") < 3000)
+    got = toxicity_scores(docs, model).where("doc_id >= 3000").join(labels, "doc_id").collect()
+    assert sum((r.score >= 0.5) == r.toxic for r in got) / len(got) > 0.95
+
+
 def test_margins_equal_pairwise_sums():
     model = FactorizationMachine(np.array([3, 5, 9]), 2)
     model.weights, model.bias = np.array([0.5, -1.0, 2.0]), 0.25
