@@ -261,7 +261,8 @@ def paragraph_clusters(texts: DataFrame, words: int = 5, similarity: float = 0.8
     banded = banded.withColumn("copies", F.sum("n").over(of_key)).withColumn("low", F.min("h1").over(of_key)).withColumn("high", F.max("h1").over(of_key))
     told = written(banded.where("low <> high or copies > 1").select("key", "h1", (F.col("low") != F.col("high")).alias("collides")).distinct())
     found = texts.mapInArrow(places, "h1 long, h2 long, doc_id long, text_key long, no_id boolean, start int, n_words int, whole boolean")
-    found = written(found.join(told.select("h1").distinct(), "h1", "left_semi"))
+    several = written(told.select("h1").distinct())  # a table, so that the join may split a hot content
+    found = written(found.join(several, "h1", "left_semi"))
     place = F.struct("doc_id", "no_id", "text_key", "start", "n_words")
     contents = written(found.groupBy("h1", "h2").agg(F.min(place).alias("one"), F.max(place).alias("last")))
 
@@ -314,7 +315,7 @@ def paragraph_clusters(texts: DataFrame, words: int = 5, similarity: float = 0.8
     out = found.join(members, ["h1", "h2"]).drop("h1", "h2").distinct()
     kept = (F.struct("doc_id", "no_id", "text_key") == F.struct("keeper.doc_id", "keeper.no_id", "keeper.text_key")) & (F.col("start") < F.col("keeper.start") + F.col("keeper.n_words"))
     clusters = written(out.withColumn("kept", kept))
-    released(told, found, contents)
+    released(told, several, found, contents)
     return clusters
 
 
