@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from apiloom.llm.common import text_key, written
 
-#: Items' shingles are broadcast up to this count; beyond it they are joined by a shuffle.
+#: Items' shingles and blocks are broadcast up to this count; beyond it they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
 
@@ -28,21 +28,39 @@ def window_fingerprint(shingles: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(F.when(bit(b), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
 
 
-def hamming_blocks(fingerprint: Column, radius: int) -> Column:
-    """radius + 1 blocks (number, bits): fingerprints within the radius agree in one of them at least."""
+def block_cuts(radius: int) -> list[tuple[int, int]]:
+    """Bit ranges of radius + 1 blocks: fingerprints that differ in no more than ``radius`` bits agree in one of them at least."""
     n = radius + 1
     cuts = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.lit(i).cast("long") * (1 << 32) + F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _bits(fingerprint: Column, cut: tuple[int, int]) -> Column:
+    return F.shiftrightunsigned(fingerprint, cut[0]).bitwiseAND(F.lit((1 << (cut[1] - cut[0])) - 1))
+
+
+def hamming_blocks(fingerprint: Column, radius: int) -> Column:
+    """The blocks of a fingerprint, each with its number."""
+    return F.array(*[F.lit(i).cast("long") * (1 << 32) + _bits(fingerprint, cut) for i, cut in enumerate(block_cuts(radius))])
+
+
+def first_agreement(a: Column, b: Column, radius: int) -> Column:
+    """Number of the first block in which two fingerprints agree, so a pair that many blocks find is kept once."""
+    apart = a.bitwiseXOR(b)
+    return F.coalesce(*[F.when(_bits(apart, cut) == 0, F.lit(i).cast("long")) for i, cut in enumerate(block_cuts(radius))])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """(doc_id, text_key, item_id, start, similarity): the best window of each document for each item it holds.
 
-    Words are runs of letters and digits, lower-cased. A window has as many words as the item; where it stands follows
-    from a shingle of ``words`` words (the whole item, if that is shorter) that it shares with the item, and windows
-    that share none have similarity zero. Windows are fingerprinted by SimHash; ``radius + 1`` blocks of bits find
-    every fingerprint within the radius of the item's, and the weighted Jaccard similarity of the shingles, weighted by
-    how often each occurs, decides. At 0.8 about ten of 64 bits differ; the radius stands five deviations above.
+    Words are runs of letters and digits, lower-cased. Windows have as many words as an item. Fingerprinting a window
+    at every word for every size would cost sizes times words fingerprints, and a window without a shingle of the
+    benchmark (``words`` words, or a whole shorter item) has similarity zero to all items; so windows stand where such
+    a shingle puts an item's begin. Each is fingerprinted by SimHash once, whichever items its shingles come from.
+
+    ``radius + 1`` blocks of bits then find, among the items of the window's size, every fingerprint within the
+    radius; the weighted Jaccard similarity of the shingles, weighted by how often each occurs, decides. At 0.8 about
+    ten of 64 bits differ; the radius stands five deviations above.
 
     Null and empty texts and items without words match nothing. Repeated documents (same id and text) count once and
     get one row for each item; a null doc_id is kept. Repeated items give rows for each item_id. Other columns are
@@ -55,31 +73,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, similari
         lengths = [words]
     by_length = lambda w: F.coalesce(*[F.when(F.col("k") == k, shingle_array(w, k)) for k in lengths])
     items = written(items.withColumn("s", by_length(F.col("w"))).withColumn("fp", window_fingerprint(F.col("s"))).drop("w"))
-    shingles = items.select("item_id", "size", "k", F.posexplode("s").alias("at", "h")).withColumnRenamed("h", "shingle")
-    if shingles.count() <= MOST_BROADCAST:
-        shingles = F.broadcast(shingles)
+    shingles = items.select("size", "k", F.posexplode("s").alias("at", "shingle")).distinct()
+    of_item = items.select("item_id", F.col("size").alias("i_size"), F.col("k").alias("i_k"), F.col("fp").alias("i_fp"), F.explode(hamming_blocks(F.col("fp"), radius)).alias("block"))
+    if (items.agg(F.sum(F.size("s") + radius + 1)).first()[0] or 0) <= MOST_BROADCAST:
+        shingles, of_item = F.broadcast(shingles), F.broadcast(of_item)
 
     texts = docs.select("doc_id", text_key().alias("text_key"), words_of(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    hits = None
-    for k in lengths:
-        each = texts.where(F.col("n") >= k).select("doc_id", "text_key", "n", F.posexplode(shingle_array(F.col("w"), k)).alias("pos", "shingle"))
-        each = each.join(shingles.where(F.col("k") == k), "shingle")
-        hits = each if hits is None else hits.unionByName(each)
+    marked = lambda k: F.transform(shingle_array(F.col("w"), k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), h.alias("shingle")))
+    every = F.flatten(F.array(*map(marked, lengths)))
+    placed = texts.select("doc_id", "text_key", "n", F.explode(every).alias("x")).select("doc_id", "text_key", "n", "x.*")
     begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("size")))
-    windows = written(hits.select("doc_id", "text_key", "item_id", "size", "k", begin.alias("begin")).distinct())
+    windows = written(placed.join(shingles, ["k", "shingle"]).select("doc_id", "text_key", "size", "k", begin.alias("begin")).distinct())
 
-    found = windows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "size", "k", "begin")).alias("windows"))
+    found = windows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("size", "k", "begin")).alias("windows"))
     found = found.select(F.col("doc_id").alias("f_doc"), F.col("text_key").alias("f_key"), "windows")
     held = docs.select("doc_id", "text")
-    held = held.join(found, held.doc_id.eqNullSafe(found.f_doc) & (text_key(held.text) == found.f_key))
+    held = held.join(found, held.doc_id.eqNullSafe(found.f_doc) & (text_key(held.text) == found.f_key)).dropDuplicates(["f_doc", "f_key"])
     cut = held.select("doc_id", F.col("f_key").alias("text_key"), words_of(F.col("text")).alias("all"), F.explode("windows").alias("x")).select("doc_id", "text_key", "x.*", F.slice("all", F.col("x.begin") + 1, F.col("x.size")).alias("w"))
-    cut = cut.dropDuplicates(["doc_id", "text_key", "item_id", "size", "begin"])
-    cut = cut.withColumn("s", by_length(F.col("w"))).drop("w").withColumn("fp", window_fingerprint(F.col("s")))
+    cut = written(cut.withColumn("s", by_length(F.col("w"))).drop("w").withColumn("fp", window_fingerprint(F.col("s"))))
 
-    of_item = items.select(F.col("item_id").alias("i_item"), F.col("size").alias("i_size"), F.col("fp").alias("i_fp"), F.col("s").alias("i_s"), F.explode(hamming_blocks(F.col("fp"), radius)).alias("i_block"))
     near = cut.withColumn("block", F.explode(hamming_blocks(F.col("fp"), radius)))
-    near = near.join(of_item, (near.item_id.eqNullSafe(of_item.i_item)) & (near["size"] == of_item.i_size) & (near.block == of_item.i_block))
-    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp"))) <= radius).dropDuplicates(["doc_id", "text_key", "item_id", "begin", "i_fp", "size"])
+    near = near.join(of_item, (near["size"] == of_item.i_size) & (near.k == of_item.i_k) & (near.block == of_item.block)).drop(near.block)
+    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("i_fp"))) <= radius).withColumn("first", first_agreement(F.col("fp"), F.col("i_fp"), radius))
+    near = written(near.select("doc_id", "text_key", "item_id", "i_fp", "begin", "size", "s", "block", "first")).where(F.shiftrightunsigned("block", 32) == F.col("first"))
+    near = near.drop("block", "first").join(items.select(F.col("item_id").alias("of_id"), F.col("size").alias("of_size"), F.col("fp").alias("of_fp"), F.col("s").alias("i_s")), F.col("item_id").eqNullSafe(F.col("of_id")) & (F.col("size") == F.col("of_size")) & (F.col("i_fp") == F.col("of_fp")))
 
     weight = lambda s, h: F.size(F.filter(s, lambda x: x == h))
     shared = F.aggregate(F.array_distinct("i_s"), F.lit(0), lambda t, h: t + F.least(weight(F.col("s"), h), weight(F.col("i_s"), h)))
