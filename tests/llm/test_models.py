@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from apiloom.llm import queries
 from apiloom.llm.decontam import contaminated, drop_contaminated, hamming_blocks
 from apiloom.llm.fm import FactorizationMachine
-from apiloom.llm.packing import pack, reciprocal_pieces
+from apiloom.llm.packing import HarmonicBins, WordCachedEncoder, pack
 from apiloom.llm.quality import fit_quality, quality_scores
 from apiloom.llm.topk import top_k
 from apiloom.llm.toxicity import drop_toxic, fit_toxicity, held_out, toxicity_scores
@@ -122,13 +122,43 @@ def test_packing_round_trip(spark):
             assert p.offset == at
             at += p.length
         assert at <= 1024 and at & (at - 1) == 0
-        assert len({p.length for p in parts}) == 1
+    assert sum(sum(p.length for p in parts) < 1024 for parts in bins.values()) <= 3 * 10
+    assert len(pieces) < 2 * sum(-(-of[d][0].doc_tokens // 1024) for d in texts)
+    clash = docs.selectExpr("doc_id", "text", "1 as start", "'x' as ids", "2 as length").unionByName(spark.createDataFrame([(None, "a b c"), (None, "a b c")], docs.schema), allowMissingColumns=True)
+    rows = pack(clash, 1024, with_ids=True).where("doc_id is null").groupBy("start").count().collect()
+    assert sum(r["count"] for r in rows) >= 2
     assert pack(docs.limit(0)).count() == 0
 
 
-def test_pieces():
-    assert reciprocal_pieces(2047, 1024) == [1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
-    assert reciprocal_pieces(0, 1024) == []
+def test_bins_take_as_many_tails_as_their_class_says():
+    rng = random.Random(3)
+    for capacity in (1, 64, 1000, 1024):
+        bins, sizes = HarmonicBins(capacity), [rng.choice([1, 2, 5, rng.randint(1, 80), rng.randint(80, 700), rng.randint(700, 4000)]) for _ in range(600)]
+        full = [b for i, n in enumerate(sizes) for b in bins.add(i, np.arange(n, dtype="<u4").tobytes())]
+        assert all(sum(len(p[2]) for p in b) == 4 * capacity for b in full)
+        rest = list(bins.rest())
+        lengths = [sum(len(p[2]) for p in b) // 4 for b in rest]
+        assert sum(n < capacity for n in lengths) <= capacity.bit_length() and all(n == capacity or n & (n - 1) == 0 for n in lengths)
+        got = defaultdict(list)
+        for b in [*full, *rest]:
+            for d, start, ids, total in b:
+                assert total == sizes[d]
+                got[d].append((start, *np.frombuffer(ids, "<u4").tolist()))
+        assert all([x for p in sorted(got[d]) for x in p[1:]] == list(range(n)) for d, n in enumerate(sizes))
+    bins = HarmonicBins(1024)
+    tails = [list(bins.add(i, bytes(4 * 300))) for i in range(3)] + [list(bins.add(3, bytes(4 * 200)))]
+    assert [len(p[2]) // 4 for p in tails[3][0]] == [300, 300, 300, 124]
+
+
+def test_ids_equal_the_tokenizers_own():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, encode, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), WordCachedEncoder(), random.Random(11)
+    alphabet = list("abcdeXYZ012.,!?'-_\"()/:  \n\t\r") + ["  ", "\n\n", "é", "ß", "漢字", "\u00a0", "\u2003", "\u3000", "\u200b", "😀", "'s", "'ll", " the", " and", "123", "\x1c", "\x85"]
+    for _ in range(4000):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 60)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def brute_top(rows, k=5, every=50):
