@@ -141,9 +141,10 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def brute_lines(rows):
     first = {}
-    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        for i in range(len((t or "").split("\n")) - 2 if t is not None else 0):
-            first.setdefault(tuple(t.split("\n")[i : i + 3]), (d, t, i))
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        lines = t.split("\n") if t is not None else []
+        for i in range(len(lines) - 2):
+            first.setdefault(tuple(lines[i : i + 3]), (d, t, i))
     out = []
     for d, t in rows:
         if t is None:
@@ -165,6 +166,15 @@ def test_lines_equal_brute_force(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_lines_of_texts_under_one_id_and_of_long_texts(spark):
+    """Texts of one id come by their own order; a text of 20,000 lines is cut in time that grows with its lines."""
+    rng = random.Random(12)
+    rows = [(k, "\n".join([rng.choice("wxyz"), *"abcd", rng.choice("wxyz")]) + f"\n{k}") for k in range(6) for _ in range(2)]
+    rows += [(50, "\n".join(f"line {i % 15_000}" for i in range(20_000))), (51, "\n".join(f"line {i}" for i in range(100)))]
+    got = dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_lines(rows)
+
+
 def paragraphs(texts, least):
     made = [hashed_words(t, WordHashes()) for t in texts]
     return Paragraphs.of(*(np.concatenate([m[i] for m in made]) for i in (0, 1)), np.array([len(m[0]) for m in made]), least)
