@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apiloom.llm.common import written
+from apiloom.llm.common import released, written
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,8 +25,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         small = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        before, edges = edges, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        released(before)
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
         state = now

@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from apiloom.llm.common import keyed, small_batches, written
 
 GRAM = 24
+#: Bytes that are hashed at once: texts beyond are cut into segments that overlap by a string.
+SEGMENT = 1 << 20
+ROWS_OUT = 5_000
 _PLACE_BITS = 28
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -70,8 +73,6 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[n
     none = tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0, np.uint64),)
     if len(data) < length:
         return none
-    if len(data) >> _PLACE_BITS:
-        raise ValueError("a batch of texts is too large; lower the rows of an Arrow batch")
     grams, power, have = _SYMBOLS[data], _BASES[0], 1
     built = {1: (grams, power)}
     while 2 * have <= GRAM:
@@ -105,6 +106,24 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[n
     return doc, begin, np.diff(np.append(first, len(fits))), anchor, whole[anchor]
 
 
+def segments(offsets: np.ndarray, length: int, most: int = SEGMENT) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(first document, offsets of the segment's documents in the data, place of its first byte in the first document).
+
+    Neighbouring documents of up to ``most`` bytes go together. A longer one comes in segments of its own, in which each
+    of its strings begins in exactly one; a string's anchor depends on its bytes alone, so cuts do not change it.
+    """
+    n, d = len(offsets) - 1, 0
+    while d < n:
+        last = max(d + 1, int(np.searchsorted(offsets, offsets[d] + most, "right")) - 1)
+        size = int(offsets[d + 1] - offsets[d])
+        if size <= most:
+            yield d, offsets[d : last + 1], 0
+        else:
+            for at in range(0, size - length + 1, most - length + 1):
+                yield d, np.array([offsets[d] + at, min(offsets[d] + at + most, offsets[d + 1])]), at
+        d = last
+
+
 def repeated_columns(rows: list[bytes], leads: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, start within it) of the strings of ``length`` bytes that another row of the same group has in the same column.
 
@@ -183,10 +202,15 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 20_000, rows_a
 
     def runs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         data, offsets = text_bytes(batch.column("text"))
-        doc, begin, n, place, anchor = anchored_runs(data, offsets, length)
-        content = StringHashes(data, _BASES[1])(begin, begin + n - 1 + length) if len(begin) else np.empty(0, np.uint64)
-        where = ((begin - offsets[doc]) << 16) | (n << 8) | (place - begin)
-        return doc, where, anchor.view(np.int64), content.view(np.int64)
+        found = [tuple(np.empty(0, np.int64) for _ in range(4))]
+        for first, ends, at in segments(offsets, length):
+            part, ends = data[ends[0] : ends[-1]], ends - ends[0]
+            doc, begin, n, place, anchor = anchored_runs(part, ends, length)
+            if len(begin):
+                content = StringHashes(part, _BASES[1])(begin, begin + n - 1 + length)
+                where = ((begin - ends[doc] + at) << 16) | (n << 8) | (place - begin)
+                found.append((doc + first, where, anchor.view(np.int64), content.view(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     if length - GRAM >= 255:
         raise ValueError("length must be under 279")
@@ -224,11 +248,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 20_000, rows_a
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor().decompress
         names = ["anchor", "doc_id", "text_key", "start", "n", "lead", "once", "piece", "w"]
-        types = [pa.int64(), None, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))]
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
         for batch in batches:
-            types[1] = batch.schema.field("doc_id").type
             out: list[tuple] = []
             for doc_id, key, z, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "z", "runs")), strict=True):
+                if len(out) >= ROWS_OUT:
+                    yield made(out)
+                    out = []
                 raw = opened(z)
                 hashes = None
                 for r in found:
@@ -243,7 +270,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 20_000, rows_a
                     x, y = (h(at, at + length).view(np.int64).tolist() for h in hashes)
                     out.append((r["anchor"], doc_id, key, a, k, lead, r["n"] == 1, None, [{"x": i, "y": j} for i, j in zip(x, y, strict=True)]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                yield made(out)
 
     pieces = rows.mapInArrow(cut, piece)
     span = f"doc_id {kind}, text_key long, a long, b long"

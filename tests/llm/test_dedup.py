@@ -1,5 +1,6 @@
 """Deduplication operators against brute force."""
 
+import functools
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ from apiloom.llm.linededup import dedup_lines
 from apiloom.llm.paragraphs import Paragraphs, WordHashes, hashed_texts, hashed_words, paragraph_clusters, repeated_paragraphs
 from apiloom.llm.queries import op3_paragraph_dedup
 from apiloom.llm.simhash import drop_near_duplicates, linked_within, near_duplicates
-from apiloom.llm.suffixes import drop_repeats
+from apiloom.llm.suffixes import drop_repeats, segments
 
 SCHEMA = "doc_id long, text string"
 
@@ -67,6 +68,30 @@ def test_repeats_of_given_documents(spark):
     assert sorted(map(tuple, got), key=repr) == brute_repeats(rows)
 
 
+def test_repeats_in_long_texts_and_beside_other_columns(spark, monkeypatch):
+    """A segment holds 1,000 bytes here, so the long texts and the batch are cut into many; other columns have the operator's names."""
+    monkeypatch.setattr("apiloom.llm.suffixes.segments", functools.partial(segments, most=1000))
+    rng = random.Random(3)
+    passage = words(rng, 300)
+    rows = [(0, words(rng, 3000) + passage + words(rng, 2000)), (1, passage[100:1900] + words(rng, 40)), (2, "ab" * 2500), (3, None), (4, "")]
+    frame = spark.createDataFrame([(*r, "x", 5) for r in rows], SCHEMA + ", spans string, anchor int").coalesce(1)
+    got = drop_repeats(frame, 200).drop("kept").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_repeats(rows)
+
+
+def test_segments_hold_each_start_once():
+    offsets = np.array([0, 0, 5, 300, 2800, 2900, 2900, 5000])
+    for most in (250, 400, 1000, 10_000):
+        starts = Counter()
+        for first, ends, at in segments(offsets, 200, most):
+            for k in range(len(ends) - 1):
+                own = offsets[first + k] + (at if k == 0 else 0)
+                assert ends[k] == own
+                starts.update((first + k, x) for x in range(ends[k], ends[k + 1] - 199))
+        want = Counter((d, x) for d in range(7) for x in range(offsets[d], offsets[d + 1] - 199))
+        assert starts == want
+
+
 def test_repeats_of_nothing(spark):
     assert drop_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
