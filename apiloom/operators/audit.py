@@ -13,18 +13,18 @@ from apiloom.operators.graph import dependency_cycles
 from apiloom.sources.shared import written
 
 
-def auth_by_dependency(nodes: DataFrame, edges: DataFrame, extra_auth: Iterable[str] = (), max_rounds: int = 60) -> DataFrame:
+def auth_by_dependency(nodes: DataFrame, edges: DataFrame, extra_auth: Iterable[str] = ()) -> DataFrame:
     """(project_id, route, by): the guard among a route's transitive dependencies that a stack search meets first.
 
     Of each dependency only the least key is kept, the reversed ordinals of the way to it; keys are lowered until none
-    changes, and nothing is searched beyond a guard.
+    changes (a way round a circle only makes a key greater), and nothing is searched beyond a guard.
     """
     direct = written(direct_dependencies(edges))
     guards = nodes.select("project_id", F.col("id").alias("dep"), "name", is_auth_name(F.col("name"), tuple(extra_auth)).alias("is_auth"))
     handled = edges.where("type = 'HANDLED_BY'").select("project_id", F.col("src").alias("route"), F.col("dst").alias("id"))
     best = handled.join(direct, ["project_id", "id"]).groupBy("project_id", "route", "dep").agg(F.min(F.array(-F.col("pos"))).alias("key"))
     best = changed = written(best.join(guards, ["project_id", "dep"]))
-    for _ in range(max_rounds):
+    while True:
         more = changed.where("not is_auth").select("project_id", "route", F.col("dep").alias("id"), "key").join(direct, ["project_id", "id"])
         more = more.groupBy("project_id", "route", "dep").agg(F.min(F.concat("key", F.array(-F.col("pos")))).alias("new"))
         changed = more.join(best.select("project_id", "route", "dep", "key"), ["project_id", "route", "dep"], "left").where("key is null or new < key")
@@ -49,13 +49,13 @@ def auth_by_call(nodes: DataFrame, edges: DataFrame, extra_auth: Iterable[str] =
     guards = nodes.select("project_id", F.col("id").alias("callee"), "name", is_auth_name(F.col("name"), tuple(extra_auth)).alias("is_auth"))
     handled = edges.where("type = 'HANDLED_BY'").select("project_id", F.col("src").alias("route"), F.col("dst").alias("at"))
     level = handled.select("project_id", "route", "at", F.array().cast(f"array<{calls.schema['ord'].dataType.simpleString()}>").alias("way"))
-    seen, found = handled.select("project_id", "route", F.col("at").alias("callee")), None
+    seen, found = handled.select("project_id", "route", F.col("at").alias("callee")), level.select("project_id", "route", F.lit(None).cast("string").alias("name"), "way").limit(0)
     for _ in range(call_depth):
         step = level.join(calls, ["project_id", "at"]).join(seen, ["project_id", "route", "callee"], "left_anti")
         step = step.groupBy("project_id", "route", "callee").agg(F.min(F.concat("way", F.array("ord"))).alias("way"))
         step = written(step.join(guards, ["project_id", "callee"]))
         hit = step.where("is_auth").select("project_id", "route", "name", "way")
-        found = hit if found is None else found.unionByName(hit)
+        found = found.unionByName(hit)
         seen = seen.unionByName(step.select("project_id", "route", "callee"))
         level = step.where("not is_auth").select("project_id", "route", F.col("callee").alias("at"), "way")
     return found.groupBy("project_id", "route").agg(F.min_by("name", F.struct(F.size("way"), "way")).alias("by"))

@@ -102,7 +102,7 @@ def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1, edge_types: It
         first = reached.withColumn("n", F.row_number().over(Window.partitionBy("project_id", "root", "id").orderBy(*key))).where("n = 1")
         place = F.row_number().over(Window.partitionBy("project_id", "root").orderBy(*key))
         before = found.groupBy("project_id", "root").agg(F.max("rank").alias("before")) if found is not None else None
-        level = first.withColumn("place", place)
+        level = first.withColumn("place", place).where(F.col("place") <= limit)
         level = level.join(before, ["project_id", "root"], "left") if before is not None else level.withColumn("before", F.lit(0))
         level = level.withColumn("rank", F.col("place") + F.coalesce("before", F.lit(0))).where(F.col("rank") <= limit)
         level = written(level.select("project_id", "root", "id", "edge", "direction", "from", F.lit(distance).alias("distance"), "rank"))
@@ -130,21 +130,23 @@ def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int
     steps = written(back.withColumn("side", F.lit(0)).unionByName(down.withColumn("mirror", F.lit(False)).withColumn("side", F.lit(1)).select("project_id", "at", "id", "o", "mirror", "side")))
     names = nodes.select("project_id", "id", "type", "name")
     start = roots.select("project_id", "root").distinct().join(typed.withColumnRenamed("at", "root"), ["project_id", "root"])
-    frontier = start.select("project_id", "root", F.col("root").alias("at"), F.lit(0).alias("rank"), F.array("at_name").alias("chain"))
+    # A node's way orders it among those of its distance: its parent's way, then side, order and id of the last step.
+    step = F.struct("side", "o", "id")
+    none = F.slice(F.array(F.struct(F.lit(0).alias("side"), F.lit(None).cast(steps.schema["o"].dataType).alias("o"), F.lit("").alias("id"))), 1, 0)
+    frontier = start.select("project_id", "root", F.col("root").alias("at"), none.alias("way"), F.array("at_name").alias("chain"))
     seen = start.select("project_id", "root", F.col("root").alias("id"))
     found = None
     for distance in range(1, max_depth + 1):
         reached = frontier.join(steps, ["project_id", "at"]).where((F.lit(distance) == 1) | ~F.col("mirror")).join(seen, ["project_id", "root", "id"], "left_anti")
-        key = [F.col("rank"), F.col("side"), F.col("o"), F.col("id")]
-        first = reached.withColumn("n", F.row_number().over(Window.partitionBy("project_id", "root", "id").orderBy(*key))).where("n = 1")
-        level = first.join(names, ["project_id", "id"]).withColumn("rank", F.row_number().over(Window.partitionBy("project_id", "root").orderBy(*key)))
-        level = written(level.select("project_id", "root", "id", "type", "name", F.lit(distance).alias("distance"), "rank", F.concat(F.array("name"), "chain").alias("chain")))
+        first = reached.groupBy("project_id", "root", "id").agg(F.min(F.struct(F.concat("way", F.array(step)).alias("way"), "chain")).alias("first"))
+        level = first.join(names, ["project_id", "id"])
+        level = written(level.select("project_id", "root", "id", "type", "name", F.lit(distance).alias("distance"), "first.way", F.concat(F.array("name"), "first.chain").alias("chain")))
         if level.isEmpty():
             found = level if found is None else found
             break
         found = level if found is None else found.unionByName(level)
         seen = seen.unionByName(level.select("project_id", "root", "id"))
-        frontier = level.select("project_id", "root", F.col("id").alias("at"), "rank", "chain")
+        frontier = level.select("project_id", "root", F.col("id").alias("at"), "way", "chain")
     groups = F.create_map(*[F.lit(x) for pair in IMPACT_GROUPS.items() for x in pair])
     shown = found.where("type <> 'Module'")
     return shown.select("project_id", "root", "id", "type", "name", F.coalesce(F.try_element_at(groups, F.col("type")), F.lit("other")).alias("group"), "distance", F.when(F.col("type") == "Route", F.col("chain")).alias("via"))

@@ -9,7 +9,7 @@ from apiloom.functions.names import join_path
 from apiloom.sources.shared import written
 
 
-def include_chains(nodes: DataFrame, edges: DataFrame, max_depth: int = 30) -> DataFrame:
+def include_chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, owner, prefix, mounted): every chain of includes above each app and router that has routes.
 
     A chain ends at an app, or where nothing more includes it. Each round climbs one include of all chains; a router
@@ -22,7 +22,7 @@ def include_chains(nodes: DataFrame, edges: DataFrame, max_depth: int = 30) -> D
     done = live.where("top_type = 'App'").select("project_id", "owner", "prefix", F.lit(True).alias("mounted"))
     live = live.where("top_type <> 'App'")
     parents = owners.select("project_id", F.col("id").alias("parent"), F.col("type").alias("parent_type"), F.col("own").alias("parent_own"))
-    for _ in range(max_depth):
+    while not live.isEmpty():
         up = live.join(includes, ["project_id", "top"], "left").where("parent is null or not array_contains(seen, parent)")
         up = up.join(parents, ["project_id", "parent"], "left")
         grown = up.where("parent is not null").select("project_id", "owner", F.col("parent").alias("top"), F.concat("parent_own", "inc", "prefix").alias("prefix"), F.col("parent_type").alias("top_type"), F.concat("seen", F.array("parent")).alias("seen"))
@@ -32,8 +32,6 @@ def include_chains(nodes: DataFrame, edges: DataFrame, max_depth: int = 30) -> D
         reached = grown.where("top_type = 'App'").select("project_id", "owner", "prefix", F.lit(True).alias("mounted"))
         done = done.unionByName(ends).unionByName(cyclic).unionByName(reached)
         live = grown.where("top_type <> 'App'")
-        if live.isEmpty():
-            break
     return done
 
 

@@ -188,13 +188,11 @@ for _name, (_kind, _sql, _attributes) in _FAMILIES.items():
 
 @registered(_ROWS + """SELECT project_id, type, count(*) AS n FROM (SELECT project_id, 'Route' AS type FROM h UNION ALL SELECT project_id, 'Handler' FROM h UNION ALL SELECT project_id, 'Module' FROM f UNION ALL SELECT project_id, 'Router' FROM f
     UNION ALL SELECT project_id, t FROM p, (VALUES ('Module'), ('Module'), ('Module'), ('Module'), ('Module'), ('Module'), ('Module'), ('App'), ('Dependency'), ('Dependency'), ('Class'), ('ORMModel'), ('ORMModel'), ('ORMModel'), ('Schema'), ('Schema'), ('Schema'),
-    ('Schema'), ('Schema'), ('Function'), ('Function'), ('Table'), ('Table'), ('Table')) AS t(t) UNION ALL SELECT DISTINCT project_id, 'Table' FROM h WHERE q = 3 UNION ALL SELECT project_id, 'Dependency' FROM h WHERE pr IN ('1', '2') GROUP BY 1
+    ('Schema'), ('Schema'), ('Function'), ('Function'), ('Table'), ('Table'), ('Table')) AS t(t) UNION ALL SELECT DISTINCT project_id, 'Table' FROM h WHERE q = 3 UNION ALL SELECT project_id, CASE WHEN count(*) FILTER (pr IN ('1', '2')) > 0 THEN 'Dependency' ELSE 'Function' END FROM h GROUP BY 1
     ) GROUP BY ALL""")
 def node_type_counts(spark, sf_dir):
-    """In every project ``require_admin`` is a dependency where a route uses it, else the function is one too: get_user depends from it."""
-    nodes, _ = code_graph(spark, sf_dir)
-    marked = nodes.withColumn("type", F.when((F.col("id") == "app.deps:require_admin") & (F.col("type") == "Function"), "unused").otherwise(F.col("type")))
-    return marked.where("type <> 'unused'").groupBy("project_id", "type").agg(F.count("*").alias("n"))
+    """``require_admin`` is a dependency in projects of which a route uses it, else a function."""
+    return code_graph(spark, sf_dir)[0].groupBy("project_id", "type").agg(F.count("*").alias("n"))
 
 
 @registered(_ROWS + f"SELECT project_id, 'route:' || method || ':' || fn AS route, {_AUTH} AS kind, {_BY} AS by FROM h")

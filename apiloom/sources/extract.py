@@ -103,7 +103,9 @@ class FileFacts:
         self.rows.append({"kind": kind, **what, "ord": len(self.rows)})
 
     def read(self, tree: ast.Module) -> None:
-        self.docstrings = {id(n.body[0].value) for n in ast.walk(tree) if isinstance(n, (ast.Module, *_SCOPES)) and n.body and isinstance(n.body[0], ast.Expr)}
+        scopes = [tree, *(n for n in ast.walk(tree) if isinstance(n, _SCOPES))]
+        heads = [s.body[0] for s in scopes if s.body]
+        self.docstrings = {id(head.value) for head in heads if isinstance(head, ast.Expr)}
         self.imports(tree)
         self.definitions(tree.body, "")
         for node in tree.body:
