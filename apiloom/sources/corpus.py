@@ -100,3 +100,68 @@ def order_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = projects.select("project_id", F.explode(F.concat(fixed, F.array(F.struct(F.lit("app/main.py").alias("path"), main.alias("content"))))).alias("f")).select("project_id", "f.path", "f.content")
     files = routers.unionByName(shared)
     return files.select("project_id", "path", F.lit(0).cast("long").alias("mtime_ns"), F.octet_length("content").cast("long").alias("size"), F.col("content").cast("binary").alias("content"))
+
+
+_YARD = {
+    "yard/__init__.py": "from yard.core import check_badge\n",
+    "yard/core.py": "from yard.deep import check_badge\n",
+    "yard/deep.py": "def check_badge(): ...\n",
+}
+
+
+def supplier_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files of a project for each nation, a file for each supplier, with the deeper shapes that services have.
+
+    Routers within routers, a dependency that three modules hand on, middleware, templates, several methods and a
+    websocket on one router, a circle of dependencies, a function defined twice, a type alias, tables without a base of
+    their own and an abstract model.
+    """
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.concat(F.lit("site_"), F.col("s_nationkey").cast("string")).alias("project_id"))
+    text = '''from typing import Annotated
+from fastapi import APIRouter, Depends, FastAPI
+from sqlalchemy.orm import declarative_base
+from sqlmodel import SQLModel
+from yard import check_badge
+
+Stem = declarative_base()
+gate = FastAPI()
+outer = APIRouter(prefix="/o%1$s")
+inner = APIRouter(prefix="/i", dependencies=[Depends(check_badge)])
+outer.include_router(inner, prefix="/n")
+gate.include_router(outer, prefix="/v%2$s")
+gate.add_middleware(Squeeze)
+type Ref%1$s = Annotated[int, Depends(check_badge)]
+
+class Bin%1$s(SQLModel, table=True):
+    load: int
+
+class Shape%1$s(Stem):
+    __abstract__ = True
+
+class Rack%1$s(Stem):
+    __tablename__ = "rack_%1$s"
+
+@gate.middleware("http")
+async def stamp%1$s(request, call_next): ...
+
+@inner.api_route("/w", methods=["GET", "PUT"])
+def weigh%1$s():
+    return pages.TemplateResponse("t%3$s.html", {"</script>": 1})
+
+@inner.websocket("/h")
+async def horn%1$s(ws, ref: Ref%1$s): ...
+
+def tick%1$s(a=Depends(tock%1$s)): ...
+
+def tock%1$s(a=Depends(tick%1$s)): ...
+
+def again%1$s(): ...
+
+async def again%1$s(): ...
+'''
+    key = F.col("s_suppkey").cast("string")
+    files = suppliers.select("project_id", F.concat(F.lit("yard/s"), key, F.lit(".py")).alias("path"), F.format_string(text, key, F.substring("project_id", 6, 9), (F.col("s_suppkey") % 7).cast("string")).alias("content"))
+    fixed = F.array(*[F.struct(F.lit(path).alias("path"), F.lit(content).alias("content")) for path, content in _YARD.items()])
+    shared = suppliers.select("project_id").distinct().select("project_id", F.explode(fixed).alias("f")).select("project_id", "f.path", "f.content")
+    both = files.unionByName(shared)
+    return both.select("project_id", "path", F.lit(0).cast("long").alias("mtime_ns"), F.octet_length("content").cast("long").alias("size"), F.col("content").cast("binary").alias("content"))
