@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from apiloom.sources.shared import released, shared_dir, written
 
-__all__ = ["keyed", "read_table", "released", "shared_dir", "small_batches", "text_key", "written"]
+__all__ = ["in_blocks", "keyed", "read_table", "released", "shared_dir", "small_batches", "text_key", "written"]
 
 #: What one Arrow batch that goes to a Python worker holds, unless a single row is larger.
 BATCH_BYTES = 8 << 20
@@ -31,6 +31,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.xxhash64(no_id, F.col("text")).alias("text_key"), "text", no_id.alias("no_id"))
 
 
+def in_blocks(rows: DataFrame, sizes: DataFrame, ids: list[str], most: int) -> DataFrame:
+    """``rows`` (key, ids ...) with ``block``: rows of a key meet within a block.
+
+    A key that has more than ``most`` rows in ``sizes`` (key) is dealt into parts, and a block is a pair of parts; so no
+    block grows beyond about twice ``most``, and every two rows of a key meet in one block at least.
+    """
+    large = sizes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    dealt = rows.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64(*ids), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("block", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).drop("parts", "part", "other")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound an Arrow batch by its bytes, the same for all operators; a lower bound that the session has stays."""
     found = (spark.conf.get(_BATCH_OPTION) or "").rstrip("bB")

@@ -8,11 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apiloom.llm.common import keyed, released, small_batches, written
+from apiloom.llm.common import in_blocks, keyed, released, small_batches, written
 from apiloom.llm.components import connected_components
 
 #: A line of more words than this is cut into pieces where its own words choose.
@@ -269,11 +269,7 @@ def paragraph_clusters(texts: DataFrame, words: int = 5, similarity: float = 0.8
     colliding = told.where("collides").select("key", "h1").join(contents.select("h1", "h2"), "h1")
     wanted = colliding.select("h1", "h2").distinct().join(contents, ["h1", "h2"]).select("h1", "h2", "one.doc_id", "one.text_key", "one.start", "one.n_words")
     sets = _slices(texts, wanted, 0, ["h1", "h2"]).select("h1", "h2", "w")
-    large = told.where("collides").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    dealt = colliding.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    dealt = dealt.withColumn("other", F.explode(other)).withColumn("block", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).drop("parts", "part", "other")
-    buckets = dealt.join(sets, ["h1", "h2"]).repartition("key", "block").sortWithinPartitions("key", "block")
+    buckets = in_blocks(colliding, told.where("collides"), ["h1", "h2"], BLOCK).join(sets, ["h1", "h2"]).repartition("key", "block").sortWithinPartitions("key", "block")
     kind = "struct<h1: bigint, h2: bigint>"
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,9 +60,12 @@ def fit_url_model(labelled: DataFrame, buckets: int = 4096, max_rows: int = 10_0
     rows = labelled.select("url", F.col("blocked").cast("double").alias("blocked")).where("url is not null and blocked in (0, 1)")
     rows = rows.distinct().orderBy(F.xxhash64("url"), "url", "blocked").limit(max_rows)
     rows = _vectors(rows, buckets).select("__vector", "blocked").persist()
-    if rows.select("blocked").distinct().count() < 2:
-        return None
-    return LogisticRegression(featuresCol="__vector", labelCol="blocked", maxIter=30, regParam=0.01).fit(rows)
+    try:
+        if rows.select("blocked").distinct().count() < 2:
+            return None
+        return LogisticRegression(featuresCol="__vector", labelCol="blocked", maxIter=30, regParam=0.01).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def rule_labelled(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -136,6 +136,15 @@ def test_near_duplicates_of_given_documents(spark):
     assert sorted(map(tuple, near_duplicates(docs).collect()), key=repr) == brute_components([tuple(r) for r in docs.collect()])
 
 
+def test_near_duplicates_of_nothing_and_of_long_texts(spark):
+    assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    rng = random.Random(1)
+    long = words(rng, 100_000)
+    rows = [(1, long), (2, long + " end"), (3, words(rng, 50_000))]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", fp int, shard string")
+    assert sorted(map(tuple, near_duplicates(frame).collect())) == brute_components(rows)
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e", "x"), (5, "a b c d e", "y"), (7, "z z y y x", "x"), (None, "a b c d e", "n")]
     got = drop_near_duplicates(spark.createDataFrame(rows, SCHEMA + ", fp string")).collect()

@@ -197,6 +197,8 @@ def test_urls(spark):
     host, path = host_and_path(F.col("url"))
     assert frame.select(*matched_rule(host, path)).count() == len(urls)
     assert judge_urls(frame.limit(0), None).count() == 0
+    again = spark.createDataFrame([(None, urls[0][0]), (None, urls[0][0]), (7, None), (7, None)], "page_id long, url string")
+    assert [(r.page_id, r.host, r.verdict) for r in judge_urls(again, None).orderBy("page_id").collect()] == [(None, "a.example.net", "allow")] * 2 + [(7, "", "allow")] * 2
 
 
 def test_url_model_learns(spark):
@@ -252,6 +254,24 @@ def test_decontamination_equals_brute_force(spark):
     assert contaminated(spark.createDataFrame(docs, "doc_id long, text string"), empty).count() == 0
 
 
+def test_learned_verdicts_on_held_out_pages(spark):
+    """The model agrees with the rules on pages that a rule decides and that it has not seen."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    model = fit_url_model(rule_labelled(pages.where(~held)))
+    got = judge_urls(pages.where(held), model).where("rule is not null").select(((F.col("score") >= 0.5) == (F.col("verdict") == "block")).alias("right")).collect()
+    assert len(got) > 100 and sum(r.right for r in got) / len(got) > 0.9
+
+
+def test_decontamination_of_nothing_and_of_long_texts(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    assert contaminated(spark.createDataFrame([], "doc_id long, text string"), items).count() == 0
+    filler = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, f"{filler} One two, three four five six seven {filler}"), (2, filler)]
+    got = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in got] == [(1, 1, 60_000, 1.0)]
+
+
 def test_blocks_meet(spark):
     rng = random.Random(1)
     rows = []
