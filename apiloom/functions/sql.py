@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,11 @@ _SILENT = r"^('|--|/\*)"
 _EMPTY = "array<struct<table:string,op:string>>"
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though the body names it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sql_tables(text: Column) -> Column:
     """array<struct<table, op>> sorted by table; op is read, write or ddl.
 
@@ -25,25 +33,46 @@ def sql_tables(text: Column) -> Column:
 
     The text is cut into tokens once; a use is a verb's token and the name that stands at a fixed distance after it.
     """
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), lambda t: F.when(t.rlike(_SILENT), F.lit("''")).otherwise(t))
-    token = lambda i: F.coalesce(F.get(tokens, F.lit(i) if isinstance(i, int) else i), F.lit(""))
-    word = lambda i: F.upper(token(i))
-    head = F.when(token(0) == "(", token(1)).otherwise(token(0))
+    head = F.regexp_extract(text, r"\A\s*\(?\s*([A-Za-z]+)", 1)
     is_sql = F.upper(head).isin(*STATEMENTS) & ((head == F.upper(head)) | text.rlike("[%;()=*]"))
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), lambda t: F.when(t.rlike(_SILENT), F.lit("''")).otherwise(t))
+    both = F.transform(tokens, lambda t: F.struct(t.alias("token"), F.upper(t).alias("word")))
+    return F.when(is_sql, _bound(both, lambda t: _bound(_uses(t), _strongest))).otherwise(F.array().cast(_EMPTY))
+
 
+def _uses(tokens: Column) -> Column:
+    """Tables and operations in the order of the text, from array<struct<token, word>>."""
+    token = lambda i: F.coalesce(F.get(tokens, i)["token"], F.lit(""))
+    word = lambda i: F.coalesce(F.get(tokens, i)["word"], F.lit(""))
     places = F.sequence(F.lit(0), F.size(tokens) - 1)
-    opens = lambda i: (word(i) == "(") | ((word(i) == "MATERIALIZED") & (word(i + 1) == "(")) | ((word(i) == "NOT") & (word(i + 1) == "MATERIALIZED") & (word(i + 2) == "("))
-    begins = lambda i: (word(i) == ",") | (word(i) == "WITH") | ((word(i) == "RECURSIVE") & (word(i - 1) == "WITH"))
-    named = F.transform(F.filter(places, lambda i: begins(i) & (word(i + 2) == "AS") & opens(i + 3)), lambda i: F.lower(token(i + 1)))
-
-    after = lambda i: F.when((word(i) != "TABLE") | (word(i + 1) != "IF"), i + 1).when(word(i + 2) == "EXISTS", i + 3).when((word(i + 2) == "NOT") & (word(i + 3) == "EXISTS"), i + 4).otherwise(i + 1)
-    verbs = F.filter(places, lambda i: word(i).isin("FROM", "JOIN", "INTO", "UPDATE", "TABLE") & token(after(i)).rlike('^["A-Za-z_]'))
-    op = lambda i: F.when(word(i) == "TABLE", "ddl").when(word(i).isin("INTO", "UPDATE") | ((word(i) == "FROM") & (word(i - 1) == "DELETE")), "write").otherwise("read")
-    is_call = lambda i: word(i).isin("FROM", "JOIN") & (token(after(i) + 1) == "(")
-    uses = F.transform(F.filter(verbs, lambda i: ~is_call(i)), lambda i: F.struct(F.lower(F.replace(token(after(i)), F.lit('"'), F.lit(""))).alias("table"), op(i).alias("op")))
-
-    is_system = lambda name: F.exists(F.array(*map(F.lit, SYSTEM_PREFIXES)), lambda p: F.startswith(name, p))
-    found = F.filter(uses, lambda u: ~F.array_contains(named, u["table"]) & ~u["table"].isin(*NO_TABLES) & ~F.contains(u["table"], F.lit("?")) & ~is_system(u["table"]))
-    tables = F.array_sort(F.array_distinct(F.transform(found, lambda u: u["table"])))
-    strongest = lambda t: F.coalesce(F.get(F.filter(found, lambda u: (u["table"] == t) & (u["op"] != "read")), F.lit(0))["op"], F.lit("read"))
-    return F.when(is_sql, F.transform(tables, lambda t: F.struct(t.alias("table"), strongest(t).alias("op")))).otherwise(F.array().cast(_EMPTY))
+
+    def is_named(i: Column) -> Column:
+        begins = (word(i) == ",") | (word(i) == "WITH") | ((word(i) == "RECURSIVE") & (word(i - 1) == "WITH"))
+        opens = (word(i + 3) == "(") | ((word(i + 3) == "MATERIALIZED") & (word(i + 4) == "(")) | ((word(i + 3) == "NOT") & (word(i + 4) == "MATERIALIZED") & (word(i + 5) == "("))
+        return (word(i + 2) == "AS") & begins & opens
+
+    def name_after(i: Column) -> Column:
+        """Place of the name that follows a verb, beyond IF EXISTS and IF NOT EXISTS."""
+        is_if = (word(i) == "TABLE") & (word(i + 1) == "IF")
+        return F.when(is_if & (word(i + 2) == "EXISTS"), i + 3).when(is_if & (word(i + 2) == "NOT") & (word(i + 3) == "EXISTS"), i + 4).otherwise(i + 1)
+
+    def use(i: Column) -> Column:
+        op = F.when(word(i) == "TABLE", "ddl").when(word(i).isin("INTO", "UPDATE") | ((word(i) == "FROM") & (word(i - 1) == "DELETE")), "write").otherwise("read")
+        is_call = word(i).isin("FROM", "JOIN") & (token(name_after(i) + 1) == "(")
+        return F.struct(token(name_after(i)).alias("name"), F.lower(F.replace(token(name_after(i)), F.lit('"'), F.lit(""))).alias("table"), op.alias("op"), is_call.alias("is_call"))
+
+    named = F.transform(F.filter(places, is_named), lambda i: F.lower(token(i + 1)))
+    uses = F.transform(F.filter(places, lambda i: word(i).isin("FROM", "JOIN", "INTO", "UPDATE", "TABLE")), use)
+    is_table = lambda u, ctes: u["name"].rlike('^["A-Za-z_]') & ~u["is_call"] & ~F.array_contains(ctes, u["table"]) & ~u["table"].isin(*NO_TABLES) & ~F.contains(u["table"], F.lit("?")) & ~_is_system(u["table"])
+    return _bound(named, lambda ctes: F.transform(F.filter(uses, lambda u: is_table(u, ctes)), lambda u: F.struct(u["table"].alias("table"), u["op"].alias("op"))))
+
+
+def _is_system(name: Column) -> Column:
+    return reduce(Column.__or__, [F.startswith(name, F.lit(p)) for p in SYSTEM_PREFIXES])
+
+
+def _strongest(uses: Column) -> Column:
+    """Each table once, by name, with its first operation that is no read."""
+    of = lambda t: F.get(F.filter(uses, lambda u: (u["table"] == t) & (u["op"] != "read")), F.lit(0))["op"]
+    tables = F.array_sort(F.array_distinct(F.transform(uses, lambda u: u["table"])))
+    return F.transform(tables, lambda t: F.struct(t.alias("table"), F.coalesce(of(t), F.lit("read")).alias("op")))

@@ -13,6 +13,20 @@ from apiloom.operators.graph import core_nodes, degree, graph_stats, hubs
 from apiloom.schemas import FUNCTION_TYPES
 from apiloom.sources.shared import written
 
+# Headings and labels of the report's format.
+TITLE = "# Knowledge graph — "
+ROUTES, HUBS, TABLES, AUDIT = "## Routes", "## Most connected symbols", "## Tables", "## Audit"
+ROUTE_COLUMNS = ("| Method | Path | Handler | Auth |", "|---|---|---|---|")
+OPEN_ROUTES = "Write routes without detected auth"
+COUNTS = {
+    "duplicate_routes": "Duplicate routes",
+    "unmounted_routes": "Routes on routers never included",
+    "unused_schemas": "Unused schemas",
+    "unreferenced_orm_models": "Unreferenced ORM models",
+    "dependency_cycles": "Dependency cycles",
+    "parse_errors": "Files with syntax errors",
+}
+
 
 def table_usage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, id, name, models, callers): models mapped to each table, and how many functions and modules query it."""
@@ -40,20 +54,20 @@ def report_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     summary = written(audit_summary(nodes, edges, auth=auth))
     open_ = unprotected_write_routes(nodes, edges, auth)
     named = lambda df: df.groupBy("project_id").agg(F.concat(F.lit("  - "), F.array_join(F.array_sort(F.collect_list(code("name"))), ", ")).alias("line"))
-    counts = (("30", "Duplicate routes", "duplicate_routes"), ("40", "Routes on routers never included", "unmounted_routes"), ("50", "Unused schemas", "unused_schemas"), ("60", "Unreferenced ORM models", "unreferenced_orm_models"), ("70", "Dependency cycles", "dependency_cycles"), ("80", "Files with syntax errors", "parse_errors"))
+    counts = [(f"{n}0", label, c) for n, (c, label) in enumerate(COUNTS.items(), 3)]
     counted: Column = F.format_string("%012d", F.col("rank"))
     fixed = lambda section, place, text: line(head, section, F.lit(place), F.lit(text))
     parts = [
-        line(head, "0 head", F.lit("0"), F.concat(F.lit("# Knowledge graph — "), "project_id")), fixed("0 head", "1", ""),
+        line(head, "0 head", F.lit("0"), F.concat(F.lit(TITLE), "project_id")), fixed("0 head", "1", ""),
         line(head, "0 head", F.lit("2"), F.concat(F.col("node").cast("string"), F.lit(" nodes, "), F.coalesce("edge", F.lit(0)).cast("string"), F.lit(" edges. "), F.coalesce("kinds", F.lit("")))),
-        *[fixed("1 routes", f" {i}", text) for i, text in enumerate(("", "## Routes", "", "| Method | Path | Handler | Auth |", "|---|---|---|---|"))],
+        *[fixed("1 routes", f" {i}", text) for i, text in enumerate(("", ROUTES, "", *ROUTE_COLUMNS))],
         line(routes, "1 routes", F.concat("at", F.lit(" "), "method", F.lit(" "), "route"), F.concat(F.lit("| "), "method", F.lit(" | "), code("at"), F.lit(" | "), code("handler"), F.lit(" | "), shown, F.lit(" |"))),
-        *[fixed("2 hubs", f" {i}", text) for i, text in enumerate(("", "## Most connected symbols", ""))],
+        *[fixed("2 hubs", f" {i}", text) for i, text in enumerate(("", HUBS, ""))],
         line(hubs(nodes, edges), "2 hubs", counted, F.concat(F.lit("- "), code("id"), F.lit(" ("), "type", F.lit(", degree "), F.col("degree").cast("string"), F.lit(")"))),
-        *[line(tables.select("project_id").distinct(), "3 tables", F.lit(f" {i}"), F.lit(text)) for i, text in enumerate(("", "## Tables", ""))],
+        *[line(tables.select("project_id").distinct(), "3 tables", F.lit(f" {i}"), F.lit(text)) for i, text in enumerate(("", TABLES, ""))],
         line(tables, "3 tables", F.col("id"), usage),
-        *[fixed("4 audit", f" {i}", text) for i, text in enumerate(("", "## Audit", ""))],
-        line(summary, "4 audit", F.lit("10"), F.concat(F.lit("- Write routes without detected auth: "), F.col("unprotected_write_routes").cast("string"))),
+        *[fixed("4 audit", f" {i}", text) for i, text in enumerate(("", AUDIT, ""))],
+        line(summary, "4 audit", F.lit("10"), F.concat(F.lit(f"- {OPEN_ROUTES}: "), F.col("unprotected_write_routes").cast("string"))),
         line(open_, "4 audit", F.concat(F.lit("20 "), "route"), F.concat(F.lit("  - "), "name", F.when(F.col("likely_public"), " (likely public)").otherwise(""))),
         *[line(summary, "4 audit", F.lit(place), F.concat(F.lit(f"- {label}: "), F.col(c).cast("string"))) for place, label, c in counts],
         *[line(named(df), "4 audit", F.lit(place), F.col("line")) for place, df in (("51", unused_schemas(nodes, edges)), ("61", unreferenced_orm_models(nodes, edges)))],

@@ -19,10 +19,9 @@ def _handled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def list_routes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project_id, method, path, full_paths, handler, line, file, is_async, mounted), by file, line and method."""
+    """(project_id, method, path, full_paths, handler, line, file, is_async, mounted), in no order: a listing sorts by file, line and method."""
     rows = _handled(nodes, edges)
-    rows = rows.select("project_id", "method", F.col("full_paths")[0].alias("path"), "full_paths", "handler", F.col("handler_line").alias("line"), "file", F.col("handler_async").alias("is_async"), "mounted")
-    return rows.orderBy("project_id", "file", "line", "method")
+    return rows.select("project_id", "method", F.col("full_paths")[0].alias("path"), "full_paths", "handler", F.col("handler_line").alias("line"), "file", F.col("handler_async").alias("is_async"), "mounted")
 
 
 def route_summary(nodes: DataFrame, edges: DataFrame, files: Iterable[str] | None = None) -> DataFrame:
