@@ -78,7 +78,7 @@ def _top(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, q_ids: np.ndarra
     return rows[r], ids[c], scores[c, r].astype(np.int64)
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, bucket_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, bucket_rows: int = 4096, query_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by ``every``; every other usable vector is a candidate.
