@@ -367,9 +367,31 @@ def report_routes(spark, sf_dir):
     return text.join(graph.select_nodes(code_graph(spark, sf_dir)[0], ["Route"]).select("project_id").distinct(), "project_id").select("project_id", F.size(bars).cast("long").alias("lines"))
 
 
-@registered()
+def _payload_sql() -> str:
+    """Every link's JSON text, from the families' rows, and of every node its id and type."""
+    texts = {"prefix": """',"prefix":"' || prefix || '"'""", "ops": """',"ops":["' || ops || '"]'""", "confidence": "',\"confidence\":' || confidence", "via": """',"via":"' || via || '"'""", "param": """',"param":"' || param || '"'"""}
+    links = []
+    for kind, sql, attributes in _FAMILIES.values():
+        more = "".join(f" || coalesce({text}, '')" for name, text in texts.items() if name in attributes)
+        links.append(f"""SELECT project_id, 'edge' AS what, src || ' {kind} ' || dst AS id, '{{"from":"' || src || '","to":"' || dst || '","type":"{kind}"'{more} || '}}' AS payload FROM ({sql})""")
+    fixed = {
+        "Module": ("module:app", "module:app.routes", "module:app.deps", "module:app.models", "module:app.schemas", "module:app.broken", "module:app.main"), "App": ("app.main:app",), "Dependency": ("app.deps:get_db", "app.deps:get_user"),
+        "Function": ("app.deps:verify_access", "app.schemas:OrderCreate.check_note"), "Class": ("app.models:Base",), "ORMModel": ("app.models:Customer", "app.models:Order", "app.models:Archive"),
+        "Schema": tuple(f"app.schemas:{x}" for x in ("OrderBase", "OrderCreate", "OrderPublic", "OrderList", "Unused")), "Table": ("table:customer", "table:orders", "table:archive"),
+    }
+    values = ", ".join(f"('{i}', '{kind}')" for kind, ids in fixed.items() for i in ids)
+    nodes = f"""SELECT project_id, id, type FROM p, (VALUES {values}) AS t(id, type) UNION ALL SELECT project_id, 'module:' || module, 'Module' FROM f UNION ALL SELECT project_id, module || ':router', 'Router' FROM f UNION ALL SELECT project_id, fn, 'Handler' FROM h
+        UNION ALL SELECT project_id, 'route:' || method || ':' || fn, 'Route' FROM h UNION ALL SELECT DISTINCT project_id, 'table:part', 'Table' FROM h WHERE q = 3
+        UNION ALL SELECT project_id, 'app.deps:require_admin', CASE WHEN count(*) FILTER (pr IN ('1', '2')) > 0 THEN 'Dependency' ELSE 'Function' END FROM h GROUP BY 1"""
+    return _ROWS + " UNION ALL ".join([*links, f"""SELECT project_id, 'node', id, '{{"id":"' || id || '","type":"' || type || '"}}' FROM ({nodes})"""])
+
+
+@registered(_payload_sql())
 def export_payload(spark, sf_dir):
-    return report.export_payload(*code_graph(spark, sf_dir))
+    """The payload of all links as text; of nodes, whose lines the rows do not tell, its id and type."""
+    rows = report.export_payload(*code_graph(spark, sf_dir))
+    part = F.to_json(F.struct(F.get_json_object("payload", "$.id").alias("id"), F.get_json_object("payload", "$.type").alias("type")))
+    return rows.withColumn("payload", F.when(F.col("what") == "node", part).otherwise(F.col("payload")))
 
 
 @registered(_ROWS + "SELECT project_id, 'app/routes/c' || c_custkey || '.py' AS path, 'app.routes.c' || c_custkey AS module, FALSE AS is_test FROM f")
