@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from apiloom.llm.common import read_table
+from apiloom.llm.common import read_table, written
 from apiloom.llm.decontam import contaminated
 from apiloom.llm.queries import op1_toxicity
 from tests.llm.test_dedup import brute_fingerprint
@@ -51,7 +51,7 @@ def test_near_dedup_equals_brute_force(spark):
             for _ in range(copy * len(w) // 100):
                 w[rng.randrange(len(w))] = f"changed{rng.random()}"
             made.append((10_000_000 + 10 * k + copy, " ".join(w), "en", "s", len(text)))
-    docs = docs.unionByName(spark.createDataFrame(made, docs.schema)).localCheckpoint()
+    docs = written(docs.unionByName(spark.createDataFrame(made, docs.schema)))
     rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
     sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in rows}
     ids, having, label = sorted(sets), defaultdict(list), {d: d for d in sets}
