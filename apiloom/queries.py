@@ -113,6 +113,7 @@ def route_facts(spark, sf_dir):
 @registered(_ROWS + """SELECT project_id, file, alias, target, attr FROM f, (VALUES ('APIRouter', 'fastapi', 'APIRouter'), ('Depends', 'fastapi', 'Depends'), ('Header', 'fastapi', 'Header'), ('Admin', 'app.deps', 'Admin'),
     ('require_admin', 'app.deps', 'require_admin'), ('verify_access', 'app.deps', 'verify_access'), ('OrderCreate', 'app.schemas', 'OrderCreate'), ('OrderPublic', 'app.schemas', 'OrderPublic')) AS i(alias, target, attr)""")
 def import_facts(spark, sf_dir):
+    """Of the files written from rows; the others are the same in every project."""
     rows = facts(spark, sf_dir).where("kind = 'import' and path like 'app/routes/%'")
     return rows.select("project_id", F.col("path").alias("file"), F.col("name").alias("alias"), F.col("ref").alias("target"), F.col("value").alias("attr"))
 
@@ -120,6 +121,7 @@ def import_facts(spark, sf_dir):
 @registered(_ROWS + """SELECT project_id, file, handler AS owner, CASE pr WHEN '2' THEN 'admin' WHEN '3' THEN 'api_key' ELSE 'body' END AS name, CASE pr WHEN '3' THEN 'Header' END AS source,
     CASE pr WHEN '2' THEN 'Admin' WHEN '3' THEN 'str' ELSE 'OrderCreate' END AS type FROM h WHERE pr IN ('2', '3') OR takes_body""")
 def param_facts(spark, sf_dir):
+    """Of the files written from rows; the others are the same in every project."""
     rows = facts(spark, sf_dir).where("path like 'app/routes/%'")
     types = rows.where("kind = 'param_type'").select("project_id", "path", "owner", "name", F.col("ref").alias("type"))
     return rows.where("kind = 'param'").join(types, ["project_id", "path", "owner", "name"], "left").select("project_id", F.col("path").alias("file"), "owner", "name", F.col("value").alias("source"), "type")
@@ -143,6 +145,7 @@ def find_modules(spark, sf_dir):
     UNION ALL SELECT project_id, module, 'Admin', 'app.deps:Admin' FROM h WHERE pr = '2' UNION ALL SELECT project_id, module, 'verify_access', 'app.deps:verify_access' FROM h WHERE pr = '4'
     UNION ALL SELECT project_id, module, 'OrderCreate', 'app.schemas:OrderCreate' FROM h WHERE takes_body UNION ALL SELECT project_id, module, 'OrderPublic', 'app.schemas:OrderPublic' FROM h WHERE has_model)""")
 def resolved_refs(spark, sf_dir):
+    """Of the files written from rows; the others are the same in every project, and ``site_reexports`` has chains."""
     known = facts(spark, sf_dir)
     return resolve_refs(all_refs(known.where("path like 'app/routes/%'")), known).where("kind = 'symbol'").select("project_id", "module", "ref", "id")
 
@@ -328,6 +331,7 @@ def handler_nodes(spark, sf_dir):
 
 @registered(_ROWS + "SELECT project_id, 'route:' || method || ':' || fn AS id, method || ' ' || path || ' < ' || handler || ' < orders' AS via FROM h WHERE q > 0")
 def impact_of_table(spark, sf_dir):
+    """Routes whose handler queries the orders table: two steps away, so the search ends there."""
     """Routes that a change of the table orders reaches, with the chain."""
     nodes, edges = code_graph(spark, sf_dir)
     roots = nodes.where("id = 'table:orders'").select("project_id", F.col("id").alias("root"))
