@@ -99,4 +99,18 @@ ORACLE_SQL: dict[str, str] = {
                                                               lambda i: NOT list_contains(c.cover, i)),
                                                   lambda i: string_split(o.text, chr(10))[i + 1]), chr(10)) END) AS kept_md5
         FROM documents o LEFT JOIN c ON o.doc_id = c.doc_id AND o.text = c.text""",
+    "op10_decontaminate": r"""
+        WITH d AS (SELECT row_number() OVER () AS dk, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL),
+        i AS (SELECT row_number() OVER () AS ik, item_id, w, len(w) AS size, least(len(w), 5) AS k
+              FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0),
+        ds AS (SELECT dk, k, n, pos, array_to_string(w[pos + 1 : pos + k], ' ') AS s
+               FROM (SELECT dk, k, w, len(w) AS n, unnest(range(0, len(w) - k + 1)) AS pos FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+        iw AS (SELECT ik, k, size, place, array_to_string(w[place + 1 : place + k], ' ') AS s FROM (SELECT *, unnest(range(0, size - k + 1)) AS place FROM i)),
+        b AS (SELECT DISTINCT dk, ik, ds.k, size, n, greatest(0, least(pos - place, n - size)) AS start FROM ds JOIN iw ON ds.s = iw.s AND ds.k = iw.k),
+        wc AS (SELECT b.dk, b.ik, b.start, ds.s, count(*) AS c FROM b JOIN ds ON ds.dk = b.dk AND ds.k = b.k AND ds.pos BETWEEN b.start AND b.start + b.size - b.k GROUP BY ALL),
+        ic AS (SELECT ik, s, count(*) AS c FROM iw GROUP BY ALL),
+        sh AS (SELECT wc.dk, wc.ik, wc.start, sum(least(wc.c, ic.c)) AS shared FROM wc JOIN ic ON wc.ik = ic.ik AND wc.s = ic.s GROUP BY ALL),
+        j AS (SELECT dk, ik, start, CAST(shared AS DOUBLE) / (least(size, n) - k + 1 + size - k + 1 - shared) AS similarity FROM sh JOIN b USING (dk, ik, start)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY dk, ik ORDER BY similarity DESC, start) AS nth FROM j WHERE similarity >= 0.8)
+        SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, similarity FROM r JOIN d USING (dk) JOIN i USING (ik) WHERE nth = 1""",
 }
