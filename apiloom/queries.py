@@ -331,11 +331,10 @@ def handler_nodes(spark, sf_dir):
 
 @registered(_ROWS + "SELECT project_id, 'route:' || method || ':' || fn AS id, method || ' ' || path || ' < ' || handler || ' < orders' AS via FROM h WHERE q > 0")
 def impact_of_table(spark, sf_dir):
-    """Routes whose handler queries the orders table: two steps away, so the search ends there."""
     """Routes that a change of the table orders reaches, with the chain."""
     nodes, edges = code_graph(spark, sf_dir)
     roots = nodes.where("id = 'table:orders'").select("project_id", F.col("id").alias("root"))
-    return graph.impact(nodes, edges, roots, 2).where("type = 'Route'").select("project_id", "id", F.array_join("via", " < ").alias("via"))
+    return graph.impact(nodes, edges, roots).where("type = 'Route'").select("project_id", "id", F.array_join("via", " < ").alias("via"))
 
 
 @registered(_ROWS + """SELECT p.project_id, id, CASE WHEN id = 'app.deps:verify_access' THEN EXISTS (FROM h WHERE h.project_id = p.project_id AND pr = '4') ELSE core END AS core
@@ -462,7 +461,7 @@ def impact_summary(spark, sf_dir):
 @registered(_KEYS + """SELECT a.src AS source, b.dst AS target, TRUE AS directed, a.src || ' > ' || a.dst || ' > ' || b.dst AS path, a.type || ' > ' || b.type AS edges FROM e a JOIN e b ON b.src = a.dst WHERE starts_with(a.src, 'supplier:')
     UNION ALL SELECT b.dst, a.src, FALSE, b.dst || ' > ' || a.dst || ' > ' || a.src, b.type || ' (reversed) > ' || a.type || ' (reversed)' FROM e a JOIN e b ON b.src = a.dst WHERE starts_with(a.src, 'supplier:')""")
 def shortest_paths(spark, sf_dir):
-    """From each supplier to its region, and back against the edges' direction."""
+    """From each supplier to its region, and back against the edges' direction; orders stand on no such path."""
     _, edges = key_graph(spark, sf_dir)
     to_nation = edges.where("src like 'supplier:%'").select("project_id", F.col("src").alias("source"), F.col("dst").alias("mid"))
     pairs = to_nation.join(edges.where("src like 'nation:%'").select("project_id", F.col("src").alias("mid"), F.col("dst").alias("target")), ["project_id", "mid"]).select("project_id", "source", "target")
