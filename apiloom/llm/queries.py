@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apiloom.llm.centroids import cluster_vectors, clustering_sql
 from apiloom.llm.common import read_table
 from apiloom.llm.decontam import contaminated
+from apiloom.llm.lexical import SEARCH_SQL, search
 from apiloom.llm.linededup import dedup_lines
 from apiloom.llm.packing import pack
+from apiloom.llm.pagediff import extract_text
 from apiloom.llm.paragraphs import repeated_paragraphs
 from apiloom.llm.quality import fit_quality, quality_scores
 from apiloom.llm.simhash import near_duplicates
@@ -69,11 +72,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"), words=5, similarity=0.8).select("doc_id", "item_id", "start", "similarity")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"), k=10)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=8, rounds=10, size=64, scale=1024, seed=3)
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_packing, op3_paragraph_dedup, op4_quality, op5_suffix_dedup, op6_simhash, op7_topk, op8_line_dedup, op9_url_filter, op10_decontaminate)
+    f.__name__: f for f in (op1_toxicity, op2_packing, op3_paragraph_dedup, op4_quality, op5_suffix_dedup, op6_simhash, op7_topk, op8_line_dedup, op9_url_filter, op10_decontaminate, op11_lexical_search, op12_centroids, op13_main_text)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_lexical_search": SEARCH_SQL,
+    "op12_centroids": clustering_sql(),
+    # What stands between the article's tags; differencing is beyond SQL and tested against brute force.
+    "op13_main_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+        b AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+        c AS (SELECT page_id, url, replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"') AS t FROM b),
+        d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM c)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
     "op7_topk": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
