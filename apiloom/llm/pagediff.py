@@ -200,7 +200,7 @@ def _last(a: list[int], b: list[int]) -> int:
 def decided(kinds: np.ndarray, keys: list[int], mates: list[list[int]], most_shared: float = 0.8) -> tuple[int, int, list[bool] | None]:
     """(lines that a mate shares, lines that only markup tells, which of the other lines go).
 
-    The first mate that does not share more than ``most_shared`` of the lines outside the template's parts decides;
+    The first mate decides that shares a line, but not more than ``most_shared`` of those outside the template's parts;
     one that shares more is a copy of the page. Lines of an article stay; where there is one, nothing else stays.
     """
     plain, furniture = kinds != FURNITURE, kinds == FURNITURE
@@ -208,7 +208,7 @@ def decided(kinds: np.ndarray, keys: list[int], mates: list[list[int]], most_sha
     for mate in mates:
         here = np.zeros(len(kinds), bool)
         here[common_lines(keys, mate)] = True
-        if (here & plain).sum() <= most_shared * plain.sum():
+        if here.any() and (here & plain).sum() <= most_shared * plain.sum():
             shared = here
             break
         shared |= here & furniture  # a copy still tells the template
@@ -242,10 +242,10 @@ def line_keys(pages: DataFrame) -> DataFrame:
 def neighbours(lines: DataFrame) -> DataFrame:
     """(host, content, kinds, keys, mates array<array<long>>): each distinct page of a host with its neighbours' keys, nearest path first.
 
-    Pages are put in order by ranges of (host, path), so a host of any size is dealt over many tasks; a page's place in
+    Pages without a line are nobody's neighbour. Pages are put in order by ranges of (host, path), so a host of any size is dealt over many tasks; a page's place in
     that order is its range's begin plus its place in the range, and neighbours are joined by place.
     """
-    distinct = lines.groupBy("host", "content").agg(F.min(F.struct("path", "kinds", "keys")).alias("p")).select("host", "content", "p.*")
+    distinct = lines.where(F.size("keys") > 0).groupBy("host", "content").agg(F.min(F.struct("path", "kinds", "keys")).alias("p")).select("host", "content", "p.*")
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = distinct.repartitionByRange(parts, "host", "path", "content").sortWithinPartitions("host", "path", "content").withColumn("n", F.monotonically_increasing_id())
     ordered = written(ordered)
@@ -295,7 +295,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     lines = written(line_keys(pages))
     found = differences(neighbours(lines))
-    decisions = written(lines.select("page_id", "page_key", "host", "content").join(found, ["host", "content"]).drop("host", "content").dropDuplicates(["page_id", "page_key"]))
+    decisions = written(lines.select("page_id", "page_key", "host", "content").join(found, ["host", "content"], "left").drop("host", "content").dropDuplicates(["page_id", "page_key"]))
     released(lines)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,4 +307,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
     key = decisions.select(F.col("page_id").alias("id"), F.col("page_key").alias("key"), "n_shared", "n_marked", "gone")
     joined = told.join(key, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("page_key") == F.col("key")))
     kept = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda t, i: ~F.get("gone", i)))
-    return joined.select("page_id", "url", F.array_join(kept, " ").alias("text"), "n_shared", "n_marked").withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_shared", "n_marked")
+    return joined.select("page_id", "url", F.array_join(kept, " ").alias("text"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_shared", "n_marked")]).withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_shared", "n_marked")
