@@ -295,7 +295,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     lines = written(line_keys(pages))
     found = differences(neighbours(lines))
-    decisions = written(lines.select("page_id", "page_key", "host", "content").join(found, ["host", "content"], "left").drop("host", "content").dropDuplicates(["page_id", "page_key"]))
+    decisions = written(lines.select("page_id", "page_key", "host", "content").join(found.hint("merge"), ["host", "content"], "left").drop("host", "content").dropDuplicates(["page_id", "page_key"]))
     released(lines)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +305,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     told = _located(pages).mapInArrow(texts, "page_id long, url string, page_key long, texts array<string>")
     key = decisions.select(F.col("page_id").alias("id"), F.col("page_key").alias("key"), "n_shared", "n_marked", "gone")
-    joined = told.join(key, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("page_key") == F.col("key")))
+    # What was decided grows with the pages, so it is never broadcast.
+    joined = told.join(key.hint("merge"), F.col("page_id").eqNullSafe(F.col("id")) & (F.col("page_key") == F.col("key")))
     kept = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda t, i: ~F.get("gone", i)))
     return joined.select("page_id", "url", F.array_join(kept, " ").alias("text"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_shared", "n_marked")]).withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_shared", "n_marked")
