@@ -33,7 +33,7 @@ def sql_tables(text: Column) -> Column:
 
     The text is cut into tokens once; a use is a verb's token and the name that stands at a fixed distance after it.
     """
-    head = F.regexp_extract(text, r"\A\s*\(?\s*([A-Za-z]+)", 1)
+    head = F.regexp_extract(text, r"\A\s*\(?\s*([\p{L}\p{N}_]+)", 1)
     is_sql = F.upper(head).isin(*STATEMENTS) & ((head == F.upper(head)) | text.rlike("[%;()=*]"))
     tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), lambda t: F.when(t.rlike(_SILENT), F.lit("''")).otherwise(t))
     both = F.transform(tokens, lambda t: F.struct(t.alias("token"), F.upper(t).alias("word")))

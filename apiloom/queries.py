@@ -21,7 +21,8 @@ from apiloom.plans.paths import include_chains as include_chains_of
 from apiloom.plans.resolve import find_module, module_index, resolve_refs
 from apiloom.sources.corpus import order_projects
 from apiloom.sources.extract import extract_facts
-from apiloom.sources.shared import shared_dir, written
+from apiloom.sources.shared import deleted, shared_dir, written
+from apiloom.sources.store import Store
 from apiloom.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -359,7 +360,26 @@ def streamed_handlers(spark, sf_dir):
     sources(spark, sf_dir).withColumn("deleted", F.lit(False)).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
     refresh.stream_refresh(stream, f"{folder}/facts", f"{folder}/checkpoint").awaitTermination()
-    return refresh.stored_facts(spark, f"{folder}/facts").where("kind = 'route'").select("project_id", "path", F.col("owner").alias("handler"))
+    handlers = written(refresh.stored_facts(spark, f"{folder}/facts").where("kind = 'route'").select("project_id", "path", F.col("owner").alias("handler")))
+    deleted(spark, folder)
+    return handlers
+
+
+@registered(_ROWS + """SELECT project_id, file AS path, CASE WHEN c_custkey % 5 = 0 THEN 'health' ELSE handler END AS handler FROM h WHERE c_custkey % 5 NOT IN (0, 1) UNION ALL SELECT project_id, file, 'health' FROM f WHERE c_custkey % 5 = 0""")
+def streamed_versions(spark, sf_dir):
+    """Three batches: all files; every fifth customer's file anew and every next one's gone; older versions of both, too late."""
+    folder = f"{shared_dir(spark).rstrip('/')}/apiloom-stream-{uuid.uuid4().hex}"
+    fifth = F.coalesce(F.regexp_extract("path", r"^app/routes/c(\d+)\.py$", 1).try_cast("long"), F.lit(2)) % 5
+    files = sources(spark, sf_dir).withColumns({"mtime_ns": F.lit(2).cast("long"), "deleted": F.lit(False)})
+    changed = files.where(fifth < 2).withColumns({"mtime_ns": F.lit(3).cast("long"), "deleted": fifth == 1, "content": _health()})
+    late = files.where(fifth < 2).withColumns({"mtime_ns": F.lit(1).cast("long"), "content": F.lit("def late(): ...").cast("binary")})
+    for batch in (files, changed, late):
+        batch.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/in")
+        refresh.stream_refresh(stream, f"{folder}/facts", f"{folder}/checkpoint").awaitTermination()
+    handlers = written(refresh.stored_facts(spark, f"{folder}/facts").where("kind = 'route'").select("project_id", "path", F.col("owner").alias("handler")))
+    deleted(spark, folder)
+    return handlers
 
 
 @registered(_ROWS + "SELECT project_id, count(*) + 2 AS lines FROM h GROUP BY 1")
@@ -545,12 +565,34 @@ def affected_projects(spark, sf_dir):
     return refresh.affected_projects(_plan(spark, sf_dir))
 
 
+def _health() -> F.Column:
+    """A file with a single route."""
+    return F.lit("from fastapi import APIRouter\nrouter = APIRouter()\n@router.get('/x')\ndef health():\n    pass\n").cast("binary")
+
+
 @registered(_ROWS + """SELECT project_id, file AS path, CASE WHEN c_custkey % 3 = 0 THEN 'health' ELSE 'h' || CAST(k AS VARCHAR) END AS handler FROM h WHERE c_custkey % 3 <> 0 UNION ALL SELECT project_id, file, 'health' FROM f WHERE c_custkey % 3 = 0""")
 def refreshed_handlers(spark, sf_dir):
     """Every third customer's file is replaced by one with a single route; only those are parsed again."""
     key = F.regexp_extract("path", r"^app/routes/c(\d+)\.py$", 1)
     again = (key != "") & (F.coalesce(key.try_cast("long"), F.lit(1)) % 3 == 0)
     was = sources(spark, sf_dir)
-    now = was.withColumn("mtime_ns", F.when(again, 1).otherwise(F.col("mtime_ns"))).withColumn("content", F.when(again, F.lit("from fastapi import APIRouter\nrouter = APIRouter()\n@router.get('/x')\ndef health():\n    pass\n").cast("binary")).otherwise(F.col("content")))
+    now = was.withColumn("mtime_ns", F.when(again, 1).otherwise(F.col("mtime_ns"))).withColumn("content", F.when(again, _health()).otherwise(F.col("content")))
     plan = refresh.plan_refresh(now, was.withColumn("sha1", content_hash(F.col("content"))))
     return refresh.refresh_facts(now, facts(spark, sf_dir), plan).where("kind = 'route'").select("project_id", "path", F.col("owner").alias("handler"))
+
+
+@registered(_ROWS + """, r AS (SELECT *, split_part(project_id, '_', 2)::INT % 4 = 1 AS edited, split_part(project_id, '_', 2)::INT % 4 = 2 AS gone FROM h),
+    n AS (SELECT *, edited AND c_custkey % 3 = 0 AS again FROM r WHERE NOT gone)
+    SELECT project_id, 'route:' || method || ':' || fn AS src, fn AS dst FROM n WHERE NOT again UNION ALL SELECT DISTINCT project_id, 'route:GET:' || module || ':health', module || ':health' FROM n WHERE again""")
+def refreshed_store(spark, sf_dir):
+    """A store of all projects brought to a snapshot in which every fourth project lost some handlers and every next one is gone."""
+    store = Store(spark, f"{shared_dir(spark).rstrip('/')}/apiloom-store-{uuid.uuid4().hex}")
+    was = sources(spark, sf_dir)
+    refresh.refresh_store(store, was)
+    fourth = F.regexp_extract("project_id", r"_(\d+)$", 1).cast("int") % 4
+    again = (fourth == 1) & (F.coalesce(F.regexp_extract("path", r"^app/routes/c(\d+)\.py$", 1).try_cast("long"), F.lit(1)) % 3 == 0)
+    now = was.where(fourth != 2).withColumns({"mtime_ns": F.when(again, 1).otherwise(F.col("mtime_ns")), "content": F.when(again, _health()).otherwise(F.col("content"))})
+    refresh.refresh_store(store, now)
+    handled = written(store.table("edges").where("type = 'HANDLED_BY'").select("project_id", "src", "dst"))
+    store.drop()
+    return handled

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from apiloom.queries import key_graph, once, registered
 from apiloom.sources.corpus import supplier_projects
 from apiloom.sources.extract import extract_facts
 from apiloom.sources.shared import shared_dir, written
-from apiloom.sources.store import graph_from_json, graph_to_json, read_facts, read_graph, write_facts, write_graph
+from apiloom.sources.store import Store, graph_from_json, graph_to_json
+from apiloom.streaming.refresh import refresh_store
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +109,13 @@ _COUNTED = ("HAS_ROUTE", "HANDLED_BY", "INCLUDES", "MIDDLEWARE", "RENDERS", "MAP
 
 @registered(_ROWS + _EDGE_COUNTS)
 def stored_graph(spark, sf_dir):
-    """Links of a graph that was built from stored facts, stored, read, turned to JSON and back."""
-    path = f"{shared_dir(spark)}/apiloom-store-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    write_facts(facts(spark, sf_dir), f"{path}/facts")
-    write_graph(*build_graph(read_facts(spark, f"{path}/facts")), path)
-    _, edges = graph_from_json(graph_to_json(*read_graph(spark, path)))
-    return edges.where(F.col("type").isin(*_COUNTED)).groupBy("project_id", "type").agg(F.count("*").alias("n"))
+    """Links of a graph that was stored, read, turned to JSON and back."""
+    store = Store(spark, f"{shared_dir(spark).rstrip('/')}/apiloom-store-{uuid.uuid4().hex}")
+    refresh_store(store, supplier_projects(spark, sf_dir))
+    _, edges = graph_from_json(graph_to_json(store.table("nodes"), store.table("edges")))
+    counts = written(edges.where(F.col("type").isin(*_COUNTED)).groupBy("project_id", "type").agg(F.count("*").alias("n")))
+    store.drop()
+    return counts
 
 
 @registered(_ROWS + """SELECT project_id, '{"from":"' || m || ':weigh' || k || '","to":"template:t' || t || '.html","type":"RENDERS"}' AS payload FROM s

@@ -40,5 +40,21 @@ def released(*tables: DataFrame) -> None:
         spark = table.sparkSession
         for path in {p.rsplit("/", 1)[0] for p in table.inputFiles()}:
             if path.rsplit("/", 1)[-1].startswith(OWN):
-                where = spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+                deleted(spark, path)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def made(spark: SparkSession, path: str) -> None:
+    """Make a folder, wherever Spark keeps it, if there is none."""
+    where, system = _place(spark, path)
+    system.mkdirs(where)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Take a folder away."""
+    where, system = _place(spark, path)
+    system.delete(where, True)
