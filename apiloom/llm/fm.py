@@ -6,6 +6,7 @@ import math
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,13 @@ BUCKETS = 1 << 20
 CACHED_WORDS = 500_000
 LEAST_STEPS = 250
 
-#: text -> hashed features, each named once
-Features = Callable[[str], np.ndarray]
+
+class Features(Protocol):
+    """Hashed features of a text, each named once; ``alone`` leaves out those that only repeat another (a word's beginnings)."""
+
+    def __call__(self, text: str) -> np.ndarray: ...
+
+    def alone(self, text: str) -> np.ndarray: ...
 
 
 def bucket(name: str) -> int:
@@ -88,16 +94,19 @@ class FactorizationMachine:
 
 @dataclass(frozen=True)
 class FitLimits:
-    """What fitting may hold: sampled labelled rows; terms of the model, by their own lift and by that of pairs.
+    """What fitting may hold: sampled labelled rows; terms of the model by their own lift, and pairs.
 
-    Pairs are sought among the ``pair_terms`` terms that most sampled rows have.
+    Pairs are sought among all terms that at least ``least_rows`` sampled rows and ``least_share`` of them have. Memory
+    bounds these to ``pair_terms`` (the most common ones), far beyond what the share leaves of natural texts.
     """
 
     max_rows: int = 20_000
     max_terms: int = 4_096
     least_z: float = 3.5
-    pair_terms: int = 1_024
-    max_pairs: int = 512
+    least_rows: int = 10
+    least_share: float = 0.002
+    pair_terms: int = 1 << 15
+    max_pairs: int = 4_096
     least_pair_z: float = 6.0
     rank: int = 8
     epochs: int = 15
@@ -105,55 +114,65 @@ class FitLimits:
     step: float = 0.03
 
 
-#: Partitions over which pairs are counted, each with one matrix of pair_terms x pair_terms.
-PAIR_TASKS, ROWS_AT_ONCE = 16, 512
+#: Terms of which a task counts all pairs with as many others.
+BLOCK_TERMS = 1_024
 
 
-def pair_terms(rows: DataFrame, p: np.ndarray, n: np.ndarray, terms: np.ndarray, base: float, limits: FitLimits) -> list[int]:
+def telling_pairs(rows: DataFrame, p: np.ndarray, n: np.ndarray, terms: np.ndarray, base: float, limits: FitLimits) -> list[int]:
     """Terms of the pairs whose labels depart most from what both terms tell by themselves.
 
-    ``rows`` (y, terms) is the sample, ``base`` its log odds; ``terms`` is sorted; p and n count the rows of label 1 and 0
-    with each. Tasks count the rows that hold both terms of a pair by matrix products; the counts are summed and judged term by term. A pair's
-    rows are expected to have the log odds of the base, moved by what either term moves it; what stands
-    ``least_pair_z`` deviations away is taken, the strongest ``max_pairs`` of them.
+    ``rows`` (y, alone) is the sample, ``base`` its log odds; ``terms`` is sorted; p and n count the rows of label 1 and 0
+    with each. The sample becomes a matrix of bits (at most max_rows x pair_terms, so it may be broadcast); a task
+    takes two blocks of terms and counts the rows with both terms of each pair by a matrix product. A pair's rows are
+    expected to have the log odds of the base, moved by what either term moves it; what stands ``least_pair_z``
+    deviations away (root of the deviance, which holds for small counts too) is taken, the strongest ``max_pairs``.
     """
     k = len(terms)
     if k < 2:
         return []
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, positive = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
-                lists = part.column("terms")
-                flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                at = np.minimum(np.searchsorted(terms, flat), k - 1)
-                own = terms[at] == flat
-                x = np.zeros((part.num_rows, k), np.float32)
-                x[row[own], at[own]] = 1
-                both += x.T @ x
-                ones = x[part.column("y").to_numpy() == 1]
-                positive += ones.T @ ones
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (both, positive))], ["at", "both", "positive"])
-
+            bits = []
+            for found in batch.column("alone").to_pylist():
+                at = np.minimum(np.searchsorted(terms, found), k - 1)
+                row = np.zeros(k, bool)
+                row[at[terms[at] == found]] = True
+                bits.append(np.packbits(row).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(bits, pa.binary())], ["y", "bits"])
+
+    spark = rows.sparkSession
+    got = rows.select("y", "alone").mapInArrow(packed, "y int, bits binary").toArrow()
+    y, width = got.column("y").to_numpy(), -(-k // 8)
+    matrix = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(len(y), width)
+    shared = spark.sparkContext.broadcast((matrix, y == 1))
     lift = np.log((p + 0.5) / (n + 0.5))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
+        matrix, positive = shared.value
+        unpacked = lambda begin: np.unpackbits(matrix[:, begin // 8 : (begin + BLOCK_TERMS) // 8], axis=1)[:, : max(0, min(BLOCK_TERMS, k - begin))].astype(np.float32)
         for batch in batches:
-            for at, *found in zip(*(batch.column(c).to_pylist() for c in ("at", "both", "positive")), strict=True):
-                own = [np.frombuffer(x, np.float32).astype(np.float64) for x in found]
-                sums[at] = [a + b for a, b in zip(sums[at], own, strict=True)] if at in sums else own
-        for at, (both, positive) in sums.items():
-            q = 1 / (1 + np.exp(-np.clip(lift[at] + lift - base, -30, 30)))
-            z = np.abs(positive - both * q) / np.sqrt(np.maximum(both * q * (1 - q), 0.5))
-            # Of terms that nearly always come together, such as a word and its beginning, the pair tells nothing new.
-            own = np.flatnonzero((z >= limits.least_pair_z) & (both >= 10) & (both < 0.9 * np.minimum(p[at] + n[at], p + n)) & (np.arange(k) > at))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), terms[at])), pa.array(terms[own]), pa.array(z[own])], ["a", "b", "z"])
-
-    parts = rows.select("y", "terms").coalesce(PAIR_TASKS).mapInArrow(counted, "at int, both binary, positive binary")
-    found = parts.repartition("at").mapInArrow(judged, "a long, b long, z double")
-    return [t for r in found.orderBy(F.desc("z"), "a", "b").limit(limits.max_pairs).collect() for t in (r.a, r.b)]
+            for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+                x, z = unpacked(i), unpacked(j)
+                both, ones = (x.T @ z).astype(float), (x[positive].T @ z[positive]).astype(float)
+                a, b = np.nonzero((both >= limits.least_rows) & (i + np.arange(x.shape[1])[:, None] < j + np.arange(z.shape[1])[None]))
+                both, ones, a, b = both[a, b], ones[a, b], a + i, b + j
+                # Of terms that nearly always come together the pair tells nothing new.
+                own = both < 0.9 * np.minimum(p[a] + n[a], p[b] + n[b])
+                both, ones, a, b = both[own], ones[own], a[own], b[own]
+                q = 1 / (1 + np.exp(-np.clip(lift[a] + lift[b] - base, -30, 30)))
+                part = lambda seen, awaited: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(awaited, 1e-12)), 0.0)
+                deviance = np.sqrt(2 * np.maximum(part(ones, both * q) + part(both - ones, both * (1 - q)), 0))
+                far = np.flatnonzero(deviance >= limits.least_pair_z)
+                far = far[np.argsort(-deviance[far], kind="stable")[: limits.max_pairs]]
+                yield pa.RecordBatch.from_arrays([pa.array(terms[a[far]]), pa.array(terms[b[far]]), pa.array(deviance[far])], ["a", "b", "z"])
+
+    begins = list(range(0, k, BLOCK_TERMS))
+    blocks = spark.createDataFrame([(i, j) for i in begins for j in begins if i <= j], "i int, j int")
+    found = blocks.repartition(min(64, len(begins) * (len(begins) + 1) // 2)).mapInArrow(judged, "a long, b long, z double")
+    best = found.orderBy(F.desc("z"), "a", "b").limit(limits.max_pairs).collect()
+    shared.unpersist()
+    return [t for r in best for t in (r.a, r.b)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, make: Callable[[], Features], limits: FitLimits) -> FactorizationMachine:
@@ -161,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, make: Cal
 
     The sample is bounded, so it may be broadcast. Features of the whole texts are made and counted on the executors. A
     term enters the model for its own lift (a log odds ratio ``least_z`` deviations from zero, at most ``max_terms``) or
-    for that of a pair (see ``pair_terms``), so words that tell something only together are met as well. What the
+    for that of a pair (see :func:`telling_pairs`), so words that tell something only together are met as well. What the
     driver gets is the sample reduced to these terms.
     """
     small_batches(docs.sparkSession)
@@ -172,17 +191,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, make: Cal
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["y", "terms"])
+            texts = batch.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array([of(t) for t in texts], pa.list_(pa.int32())) for of in (features, features.alone))], ["y", "terms", "alone"])
 
-    rows = written(sample.mapInArrow(featurize, "y int, terms array<int>"))
+    rows = written(sample.mapInArrow(featurize, "y int, terms array<int>, alone array<int>"))
     total = rows.agg(F.count(F.when(F.col("y") == 1, 1)).alias("p"), F.count(F.when(F.col("y") == 0, 1)).alias("n")).first()
     p, n = F.col("p") + 0.5, F.col("n") + 0.5
     other_p, other_n = F.lit(total.p) - F.col("p") + 0.5, F.lit(total.n) - F.col("n") + 0.5
     z = F.abs(F.log(p * other_n / (n * other_p))) / F.sqrt(1 / p + 1 / n + 1 / other_p + 1 / other_n)
     counted = written(rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).where(p + n > 3))
     own = [r.term for r in counted.where(z >= limits.least_z).orderBy(z.desc(), "term").limit(limits.max_terms).select("term").collect()]
-    common = sorted(counted.orderBy((p + n).desc(), "term").limit(limits.pair_terms).collect(), key=lambda r: r.term) if total.p and total.n else []
-    paired = pair_terms(rows, *(np.array([r[c] for r in common], float) for c in ("p", "n")), np.array([r.term for r in common], np.int64), math.log(total.p / total.n), limits) if common else []
+    least = max(limits.least_rows, limits.least_share * (total.p + total.n))
+    singles = rows.select(F.explode("alone").alias("term")).distinct()
+    often = counted.where(F.col("p") + F.col("n") >= least).join(singles, "term", "left_semi")
+    common = sorted(often.orderBy((p + n).desc(), "term").limit(limits.pair_terms).collect(), key=lambda r: r.term) if total.p and total.n else []
+    paired = telling_pairs(rows, *(np.array([r[c] for r in common], float) for c in ("p", "n")), np.array([r.term for r in common], np.int64), math.log(total.p / total.n), limits) if common else []
     terms = sorted({*own, *paired})
     model = FactorizationMachine(np.array(terms, np.int64), limits.rank)
 

@@ -66,6 +66,8 @@ class QualityFeatures:
             found.add(bucket(f"s:{name}:{step}"))
         return np.fromiter(found, np.int64, len(found))
 
+    alone = __call__
+
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, limits: FitLimits = FitLimits()) -> FactorizationMachine:
     """A model of ``labels.quality``, from at most ``limits.max_rows`` labelled rows of those ``train`` (over doc_id) holds for.

@@ -39,6 +39,10 @@ class ToxicTerms:
             found.update(terms)
         return np.fromiter(found, np.int64, len(found))
 
+    def alone(self, text: str) -> np.ndarray:
+        """The terms of whole words."""
+        return np.unique(np.array([bucket("w:" + bare) for bare in {_EDGES.sub("", w) for w in set(text.lower().split())} if bare], np.int64))
+
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, limits: FitLimits = FitLimits()) -> FactorizationMachine:
     """A model of ``labels.toxic``, from at most ``limits.max_rows`` labelled rows of those ``train`` (over doc_id) holds for.

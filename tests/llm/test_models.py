@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from apiloom.llm import queries
 from apiloom.llm.decontam import contaminated, drop_contaminated, hamming_blocks
-from apiloom.llm.fm import FactorizationMachine
+from apiloom.llm.fm import FactorizationMachine, bucket
 from apiloom.llm.packing import HarmonicBins, WordCachedEncoder, pack
 from apiloom.llm.quality import fit_quality, quality_scores
 from apiloom.llm.topk import top_k
@@ -80,6 +80,24 @@ def test_only_a_pair_tells(spark):
     assert sum((r.score >= 0.5) == r.toxic for r in got) / len(got) > 0.95
 
 
+def test_a_pair_of_rare_words_tells(spark):
+    """Of 5,000 words, two that one text in twenty has each: toxic together, harmless alone, no word tells anything by itself."""
+    rng = random.Random(6)
+    pool = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5000)]
+    rows, labels = [], []
+    for i in range(6000):
+        have = rng.choice(["a", "b", "ab", "ab"]) if rng.random() < 0.06 else ""
+        words = [*rng.sample(pool, 100), *(w for w, h in (("zorkish", "a"), ("quuxian", "b")) if h in have)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(have == "ab" if have else rng.random() < 2 / 3)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels, F.col("doc_id") < 4500)
+    assert {bucket("w:zorkish"), bucket("w:quuxian")} <= set(model.terms.tolist())
+    got = toxicity_scores(docs.where("doc_id >= 4500 and (text like '%zorkish%' or text like '%quuxian%')"), model).join(labels, "doc_id").collect()
+    assert len(got) > 60 and sum((r.score >= 0.5) == r.toxic for r in got) / len(got) >= 0.9
+
+
 def test_margins_equal_pairwise_sums():
     model = FactorizationMachine(np.array([3, 5, 9]), 2)
     model.weights, model.bias = np.array([0.5, -1.0, 2.0]), 0.25
