@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apiloom.llm import queries
-from apiloom.llm.decontam import contaminated, drop_contaminated, hamming_blocks
+from apiloom.llm.decontam import block_masks, contaminated, drop_contaminated, hamming_keys
 from apiloom.llm.fm import FactorizationMachine, bucket
 from apiloom.llm.packing import HarmonicBins, WordCachedEncoder, pack
 from apiloom.llm.quality import fit_quality, quality_scores
@@ -290,14 +290,23 @@ def test_decontamination_of_nothing_and_of_long_texts(spark):
     assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in got] == [(1, 1, 60_000, 1.0)]
 
 
-def test_blocks_meet(spark):
+def test_keys_meet_within_the_radius_and_rarely_beyond(spark):
     rng = random.Random(1)
-    rows = []
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    near, far = [], []
     for _ in range(200):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), 24):
+        a = b = rng.getrandbits(64)
+        for bit in rng.sample(range(64), 19):
             b ^= 1 << bit
-        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    frame = spark.createDataFrame(rows, "a long, b long")
-    assert frame.where(F.arrays_overlap(hamming_blocks(F.col("a"), 24), hamming_blocks(F.col("b"), 24))).count() == 200
+        near.append((signed(a), signed(b)))
+        far.append((signed(a), signed(rng.getrandbits(64))))
+    assert len(block_masks(3)) == 697
+    met = lambda rows: spark.createDataFrame(rows, "a long, b long").where(F.arrays_overlap(hamming_keys(F.col("a"), 1), hamming_keys(F.col("b"), 3))).count()
+    assert met(near) == 200 and met(far) < 60
+
+
+def test_ties_of_a_contaminated_window(spark):
+    """Of equally similar places of an item the first is told."""
+    item = "one two three four five six seven eight"
+    got = contaminated(spark.createDataFrame([(1, f"x {item} y y {item}")], "doc_id long, text string"), spark.createDataFrame([(5, item), (6, item)], "item_id long, text string"))
+    assert sorted((r.item_id, r.start, r.similarity) for r in got.collect()) == [(5, 1, 1.0), (6, 1, 1.0)]
