@@ -77,12 +77,20 @@ def hubs(nodes: DataFrame, edges: DataFrame, limit: int = 10, types: tuple[str,
     return ranked.withColumn("rank", rank).where(F.col("rank") <= limit).select("project_id", "rank", "id", "type", "degree")
 
 
-def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1, edge_types: Iterable[str] | None = None, direction: str = "both", limit: int = 200) -> DataFrame:
+#: Parts of a root's level whose best rows are found before they meet.
+RANK_PARTS = 32
+
+
+def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1, edge_types: Iterable[str] | None = None, direction: str = "both", limit: int | None = 200) -> DataFrame:
     """(project_id, root, id, edge, direction, from, distance, rank, truncated): breadth-first neighbourhood of each root.
 
     ``roots``: (project_id, root). DEFINES edges are followed only if asked for; type names in any case; depth from 1
     to 5. A node is reported once, by the first step that reaches it: in the order of what was found before, out
-    before in, then in the edges' order. At most ``limit`` are reported for a root; then ``truncated`` is true.
+    before in, then in the edges' order. At most ``limit`` are reported for a root; then ``truncated`` is true. Without a
+    limit all are reported and ``rank`` is null.
+
+    The order of a level is that of its nodes' ways (the steps from the root), so no level is ranked as a whole: with a
+    limit each part of a root's level gives its best rows, of which at most ``RANK_PARTS`` times the limit meet.
     """
     wanted = [t.upper() for t in edge_types] if edge_types else [t for t in EDGE_TYPES if t != "DEFINES"]
     if unknown := set(wanted) - set(EDGE_TYPES):
@@ -93,27 +101,37 @@ def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1, edge_types: It
     out = used.select("project_id", F.col("src").alias("from"), F.col("dst").alias("id"), F.col("type").alias("edge"), F.lit("out").alias("direction"), F.lit(0).alias("d"), _ord(edges).alias("o"))
     back = used.select("project_id", F.col("dst").alias("from"), F.col("src").alias("id"), F.col("type").alias("edge"), F.lit("in").alias("direction"), F.lit(1).alias("d"), _ord(edges).alias("o"))
     steps = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    frontier = roots.select("project_id", "root", F.col("root").alias("from"), F.lit(0).alias("rank")).distinct()
+    step = F.struct("d", "o", "id", "edge")
+    none = F.slice(F.array(F.struct(F.lit(0).alias("d"), F.lit(None).cast(steps.schema["o"].dataType).alias("o"), F.lit("").alias("id"), F.lit("").alias("edge"))), 1, 0)
+    frontier = roots.select("project_id", "root", F.col("root").alias("from"), none.alias("way")).distinct()
     seen = roots.select("project_id", "root", F.col("root").alias("id")).distinct()
+    columns = ["project_id", "root", "id", "edge", "direction", "from", "distance", "rank"]
     found = None
     for distance in range(1, max(1, min(depth, 5)) + 1):
         reached = frontier.join(steps, ["project_id", "from"]).join(seen, ["project_id", "root", "id"], "left_anti")
-        key = [F.col("rank"), F.col("d"), F.col("o"), F.col("id"), F.col("edge")]
-        first = reached.withColumn("n", F.row_number().over(Window.partitionBy("project_id", "root", "id").orderBy(*key))).where("n = 1")
-        place = F.row_number().over(Window.partitionBy("project_id", "root").orderBy(*key))
-        before = found.groupBy("project_id", "root").agg(F.max("rank").alias("before")) if found is not None else None
-        level = first.withColumn("place", place).where(F.col("place") <= limit)
-        level = level.join(before, ["project_id", "root"], "left") if before is not None else level.withColumn("before", F.lit(0))
-        level = level.withColumn("rank", F.col("place") + F.coalesce("before", F.lit(0))).where(F.col("rank") <= limit)
-        level = written(level.select("project_id", "root", "id", "edge", "direction", "from", F.lit(distance).alias("distance"), "rank"))
+        first = reached.groupBy("project_id", "root", "id").agg(F.min(F.struct(F.concat("way", F.array(step)).alias("way"), "edge", "direction", "from")).alias("f"))
+        level = first.select("project_id", "root", "id", "f.*", F.lit(distance).alias("distance"))
+        if limit is None:
+            level = level.withColumn("rank", F.lit(None).cast("int"))
+        else:
+            place = lambda *keys: F.row_number().over(Window.partitionBy("project_id", "root", *keys).orderBy("way"))
+            level = level.withColumn("place", place(F.pmod(F.xxhash64("id"), F.lit(RANK_PARTS)))).where(F.col("place") <= limit)
+            level = level.withColumn("place", place()).where(F.col("place") <= limit)
+            before = found.groupBy("project_id", "root").agg(F.max("rank").alias("before")) if found is not None else None
+            level = level.join(before, ["project_id", "root"], "left") if before is not None else level.withColumn("before", F.lit(0))
+            level = level.withColumn("rank", F.col("place") + F.coalesce("before", F.lit(0))).where(F.col("rank") <= limit)
+        level = written(level.select(*columns, "way"))
         if level.isEmpty():
             break
-        found = level if found is None else found.unionByName(level)
+        found = level.select(*columns) if found is None else found.unionByName(level.select(*columns))
         seen = seen.unionByName(level.select("project_id", "root", "id"))
-        frontier = level.select("project_id", "root", F.col("id").alias("from"), "rank")
+        frontier = level.select("project_id", "root", F.col("id").alias("from"), "way")
     if found is None:
-        found = level
-    return found.withColumn("truncated", F.max("rank").over(Window.partitionBy("project_id", "root")) >= limit)
+        found = level.select(*columns)
+    if limit is None:
+        return found.withColumn("truncated", F.lit(False))
+    full = found.groupBy("project_id", "root").agg((F.max("rank") >= limit).alias("truncated"))
+    return found.join(full, ["project_id", "root"])
 
 
 def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 6) -> DataFrame:
@@ -212,19 +230,78 @@ def _simple_paths(ways: DataFrame, pairs: DataFrame, k: int, max_length: int) ->
     return done.withColumn("rank", rank).where(F.col("rank") <= k).select(*pair, "rank", "path", "edges")
 
 
+def _trimmed(live: DataFrame, rounds: int) -> DataFrame:
+    """Edges without those of nodes that nothing reaches or that reach nothing, which lie on no circle."""
+    for _ in range(rounds):
+        kept = live.join(live.select("project_id", F.col("dst").alias("src")).distinct(), ["project_id", "src"], "left_semi")
+        live = written(kept.join(live.select("project_id", F.col("src").alias("dst")).distinct(), ["project_id", "dst"], "left_semi").select("project_id", "src", "dst"))
+    return live
+
+
+def _with_shortcuts(live: DataFrame) -> DataFrame:
+    """Edges, and from each node of a single edge those that lead 2, 4, 8, ... such edges on: ways along a chain take few rounds."""
+    single = live.groupBy("project_id", "src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1 and src <> dst").drop("n")
+    jumps = written(single)
+    longest, every = jumps.count(), live
+    length = 1
+    while length < longest:
+        length *= 2
+        on = jumps.select("project_id", F.col("src").alias("dst"), F.col("dst").alias("next"))
+        jumps = written(jumps.join(on, ["project_id", "dst"]).select("project_id", "src", F.col("next").alias("dst")))
+        if jumps.isEmpty():
+            break
+        every = every.unionByName(jumps)
+    return written(every.distinct())
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(project_id, id, component) of every node that lies on a circle, a loop included; component is its circle's largest node.
+
+    Forward-backward rounds: each node takes the largest node that reaches it; from each node that is its own largest,
+    what it reaches is followed backwards, which gives its component. Found components leave, and the rest goes on.
+    Both searches join only what changed with the edges, and shortcuts along chains keep their rounds few.
+    """
+    live = written(edges.select("project_id", "src", "dst").where("src is not null and dst is not null").distinct())
+    key = ["project_id", "id"]
+    loops = live.where("src = dst").select("project_id", F.col("src").alias("id"))
+    done = None
+    while True:
+        live = _trimmed(live, 2)
+        if live.isEmpty():
+            break
+        ways = _with_shortcuts(live)
+        on = ways.select("project_id", F.col("src").alias("id"), F.col("dst").alias("to"))
+        back = ways.select("project_id", F.col("dst").alias("id"), F.col("src").alias("to"))
+        labels = changed = written(live.select("project_id", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("label", F.col("id")))
+        while not changed.isEmpty():
+            sent = changed.join(on, key).groupBy("project_id", F.col("to").alias("id")).agg(F.max("label").alias("sent"))
+            all_ = written(labels.join(sent, key, "left").select(*key, F.greatest("label", "sent").alias("label"), (F.col("sent") > F.col("label")).alias("new")))
+            labels, changed = all_.drop("new"), all_.where("new").drop("new")
+        reached = frontier = written(labels.where("id = label"))
+        while not frontier.isEmpty():
+            next_ = frontier.join(back, key).select("project_id", F.col("to").alias("id"), "label").distinct().join(labels, [*key, "label"], "left_semi")
+            frontier = written(next_.join(reached, key, "left_anti"))
+            reached = written(reached.unionByName(frontier))
+        part = reached.withColumnRenamed("label", "component")
+        done = part if done is None else done.unionByName(part)
+        left = live.join(reached.select("project_id", F.col("id").alias("src")), ["project_id", "src"], "left_anti")
+        live = written(left.join(reached.select("project_id", F.col("id").alias("dst")), ["project_id", "dst"], "left_anti").select("project_id", "src", "dst"))
+    if done is None:
+        return edges.select("project_id", F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    many = done.groupBy("project_id", "component").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return written(done.join(many, ["project_id", "component"], "left_semi").select(*key, "component").unionByName(done.join(loops, key, "left_semi").select(*key, "component")).distinct())
+
+
 def dependency_cycles(edges: DataFrame, limit: int | None = 20, max_len: int = 10, kind: str = "DEPENDS_ON") -> DataFrame:
     """(project_id, rank, cycle array): simple cycles of one type of edge, of at most ``max_len`` nodes, each from its least node.
 
-    Nodes without an edge in or out are trimmed first, until none is left to trim.
+    Cycles are sought inside :func:`strong_components` alone, which tell of circles of any length. ``limit`` cycles of each
+    project are ranked by length, then nodes; without a limit all are given and ``rank`` is null.
     """
-    live = written(edges.where(F.col("type") == kind).select("project_id", "src", "dst").distinct())
-    n = live.count()
-    while n:
-        kept = live.join(live.select("project_id", F.col("dst").alias("src")).distinct(), ["project_id", "src"], "left_semi")
-        kept = written(kept.join(live.select("project_id", F.col("src").alias("dst")).distinct(), ["project_id", "dst"], "left_semi").select("project_id", "src", "dst"))
-        before, n, live = n, kept.count(), kept
-        if n == before:
-            break
+    used = edges.where(F.col("type") == kind).select("project_id", "src", "dst").distinct()
+    of = strong_components(used)
+    live = used.join(of.select("project_id", F.col("id").alias("src"), "component"), ["project_id", "src"])
+    live = written(live.join(of.select("project_id", F.col("id").alias("dst"), "component"), ["project_id", "dst", "component"]).select("project_id", "src", "dst"))
     paths = live.select("project_id", F.array("src").alias("path"), F.col("dst").alias("next"))
     done = None
     for _ in range(max_len):
@@ -234,8 +311,11 @@ def dependency_cycles(edges: DataFrame, limit: int | None = 20, max_len: int = 1
         paths = written(open_.join(live.select("project_id", F.col("src").alias("next"), F.col("dst").alias("after")), ["project_id", "next"]).select("project_id", F.concat("path", F.array("next")).alias("path"), F.col("after").alias("next")))
         if paths.isEmpty():
             break
-    ranked = done.withColumn("rank", F.row_number().over(Window.partitionBy("project_id").orderBy(F.size("cycle"), "cycle")))
-    return (ranked.where(F.col("rank") <= limit) if limit else ranked).select("project_id", "rank", "cycle")
+    if limit is None:
+        return done.select("project_id", F.lit(None).cast("int").alias("rank"), "cycle")
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("project_id", *keys).orderBy(F.size("cycle"), "cycle"))
+    best = done.withColumn("rank", rank(F.pmod(F.xxhash64("cycle"), F.lit(RANK_PARTS)))).where(F.col("rank") <= limit)
+    return best.withColumn("rank", rank()).where(F.col("rank") <= limit).select("project_id", "rank", "cycle")
 
 
 def core_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -44,12 +44,15 @@ def resolve_refs(refs: DataFrame, facts: DataFrame, max_reexports: int = 10) ->
 
     ``refs``: (project_id, module, ref). The first segment is a symbol of the module, else an import; each further one
     a submodule, a symbol, or a re-export of what is found so far. A round resolves one segment of all references by
-    three joins; references to builtins and locals leave in the first. Null references resolve to nothing.
+    three joins. Null references resolve to nothing.
     """
     modules = written(module_index(facts))
     defined = written(qualified_names(facts))
     imports = written(import_table(facts, modules))
-    start = refs.select(*MODULE, "ref").where("ref is not null").distinct()
+    # What a name begins with is a symbol or an import of its own module; all others (builtins, locals) leave at once.
+    begin = [*MODULE, "head"]
+    known = defined.select(*MODULE, F.col("qualname").alias("head")).unionByName(imports.select(*MODULE, F.col("alias").alias("head")))
+    start = refs.select(*MODULE, F.substring_index("ref", ".", 1).alias("head"), "ref").where("ref is not null").join(known, begin, "left_semi").distinct()
     state = start.select(*MODULE, "ref", F.lit("start").alias("kind"), F.col("module").alias("at"), F.lit("").alias("qual"), F.split("ref", "[.]").alias("rest"), F.lit(0).alias("hops"))
     done = None
     while True:

@@ -457,7 +457,7 @@ def neighbors(spark, sf_dir):
     """All that leads to each nation in two steps."""
     nodes, edges = key_graph(spark, sf_dir)
     roots = nodes.where("type = 'Schema'").select("project_id", F.col("id").alias("root"))
-    return graph.neighbors(edges, roots, 2, None, "in", 1 << 30).select("root", "id", "edge", "direction", "from", "distance")
+    return graph.neighbors(edges, roots, 2, None, "in", None).select("root", "id", "edge", "direction", "from", "distance")
 
 
 _IMPACT = _KEYS + """, i AS (SELECT dst AS root, src AS id, 1 AS distance FROM e WHERE starts_with(dst, 'region:') UNION ALL SELECT a.dst, b.src, 2 FROM e a JOIN e b ON b.dst = a.src WHERE starts_with(a.dst, 'region:')
@@ -502,6 +502,24 @@ def dependency_cycles(spark, sf_dir):
     return graph.dependency_cycles(links, None, 40).select(F.array_join("cycle", " ").alias("cycle"))
 
 
+@registered("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), w(a, b, k) AS (SELECT s_suppkey % n, (s_suppkey * 7 + 3) % n, 1 FROM supplier, n UNION ALL SELECT a, (b * 7 + 3) % n, k + 1 FROM w, n WHERE a <> b AND k < n)
+    SELECT lpad(CAST(x.a AS VARCHAR), 9, '0') AS id, lpad(CAST(max(y.b) AS VARCHAR), 9, '0') AS component FROM (SELECT a FROM w WHERE a = b) x JOIN w y ON x.a = y.a GROUP BY x.a""")
+def circle_members(spark, sf_dir):
+    """Each supplier on a circle of the links from s to (7 s + 3) modulo their number, however long, with the circle's largest."""
+    suppliers = table(spark, sf_dir, "supplier")
+    n = suppliers.count()
+    node = lambda c: F.lpad((c % n).cast("string"), 9, "0")
+    links = suppliers.select(F.lit("keys").alias("project_id"), node(F.col("s_suppkey")).alias("src"), node(F.col("s_suppkey") * 7 + 3).alias("dst"))
+    return graph.strong_components(links).select("id", "component")
+
+
+@registered(_ROWS + """SELECT project_id, fn AS root, fn AS id, handler AS name, CASE WHEN pr IN ('1', '2') THEN 'app.deps:require_admin' END AS dep, 1::BIGINT AS ways, FALSE AS circular FROM h UNION ALL SELECT project_id, fn, id, name, dep, 1, FALSE FROM h,
+    (VALUES ('app.deps:require_admin', 'require_admin', 'app.deps:get_user'), ('app.deps:get_user', 'get_user', 'app.deps:get_db'), ('app.deps:get_db', 'get_db', NULL)) AS t(id, name, dep) WHERE pr IN ('1', '2')""")
+def dependency_dags(spark, sf_dir):
+    nodes, edges = code_graph(spark, sf_dir)
+    return deps.dependency_dag(nodes, edges, graph.select_nodes(nodes, ["Handler"])).drop("pos")
+
+
 @registered(_KEYS + "SELECT id, ancestor FROM (SELECT src AS id, dst AS ancestor FROM e WHERE type <> 'CALLS' UNION SELECT a.src, b.dst FROM e a JOIN e b ON b.src = a.dst WHERE a.type <> 'CALLS' UNION SELECT a.src, c.dst FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst WHERE a.type <> 'CALLS')")
 def ancestry(spark, sf_dir):
     edges = key_graph(spark, sf_dir)[1].where("type <> 'CALLS'")
