@@ -358,9 +358,9 @@ def shared_beside(texts: DataFrame, rows: DataFrame) -> DataFrame:
 def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_run: int = 40, least_words: int = 8) -> DataFrame:
     """(doc_id, start, n_words, keeper_doc_id, keeper_start): ranges to remove, in words of their text, none twice.
 
-    A line of over 24 words that has a near copy goes whole. Elsewhere, what counts as a passage is a stretch of at least
-    ``least_run`` words that near copies of pieces and short lines cover: neighbouring ones make one stretch, and those
-    that are kept count to its length. Shorter repeats, such as headings and common phrases, are no passage and stay
+    What counts as a passage is a stretch of at least ``least_run`` words that near copies cover, be they lines or pieces
+    of them: neighbouring ones make one stretch, and those that are kept count to its length. So the same words are a
+    passage however they are laid out in lines; of a near copy of a long line the whole line goes. Shorter repeats, such as headings and common phrases, are no passage and stay
     (``least_run=0`` takes them too). Each piece takes along the words beside it that its keeper has beside it as well,
     so a passage goes from end to end.
 
@@ -390,6 +390,6 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8
     opens = F.coalesce(F.col("begin") >= reached + least_words, F.lit(True)).cast("int")
     stretch = Window.partitionBy(*text, "stretch")
     both = grown.unionByName(held).withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("length", F.max("end").over(stretch) - F.min("begin").over(stretch)).where(((F.col("length") >= least_run) | F.col("whole")) & F.col("keeper").isNotNull())
+    both = both.withColumn("length", F.max("end").over(stretch) - F.min("begin").over(stretch)).where((F.col("length") >= least_run) & F.col("keeper").isNotNull())
     real = lambda no_id, doc: F.when(~F.col(no_id), F.col(doc))
     return both.select(real("no_id", "doc_id").alias("doc_id"), F.col("begin").alias("start"), (F.col("end") - F.col("begin")).alias("n_words"), real("keeper.no_id", "keeper.doc_id").alias("keeper_doc_id"), "keeper_start")

@@ -338,3 +338,27 @@ def test_paragraphs_cover_a_text():
     assert batch.text.tolist() == [1, 3] and len({tuple(c) for c in batch.contents().tolist()}) == 2
     twice = paragraphs(["q\na b c d e f g h", "a b c d e f g h\nz", "b a c d e f g h"], 8)
     assert len({tuple(c) for c in twice.contents().tolist()}) == 2 and twice.place.tolist() == [1, 0, 0]
+
+
+def test_passages_have_one_least_length_however_laid_out(spark):
+    """Equal runs of 20 to 60 words, on a line of their own, on two lines, or within a longer line."""
+    rng = random.Random(12)
+    docs, asked = [], {}
+    for n in (20, 24, 25, 39, 40, 60):
+        for layout in ("line", "lines", "inside"):
+            run = words(rng, n).split()
+            for copy in (0, 1):
+                a, b = words(rng, 30), words(rng, 30)
+                text = {"line": f"{a}\n{' '.join(run)}\n{b}", "lines": f"{a}\n{' '.join(run[: n // 2])}\n{' '.join(run[n // 2 :])}\n{b}", "inside": f"{a} {' '.join(run)} {b}"}[layout]
+                asked[len(docs)] = (n, layout, copy)
+                docs.append((len(docs), text))
+    gone = Counter()
+    for r in repeated_paragraphs(spark.createDataFrame(docs, SCHEMA)).collect():
+        gone[r.doc_id] += r.n_words
+    for doc, (n, layout, copy) in asked.items():
+        if not copy or n < 39:
+            assert not gone[doc], (n, layout)
+        elif n >= 40 and layout != "inside":
+            assert gone[doc] >= 0.9 * n, (n, layout)
+        elif n == 60:
+            assert gone[doc] >= 0.8 * n, (n, layout)
