@@ -170,6 +170,11 @@ def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int
     return shown.select("project_id", "root", "id", "type", "name", F.coalesce(F.try_element_at(groups, F.col("type")), F.lit("other")).alias("group"), "distance", F.when(F.col("type") == "Route", F.col("chain")).alias("via"))
 
 
+def in_impact_order(impacted: DataFrame) -> DataFrame:
+    """Rows of :func:`impact` as a listing shows them: by root, distance and name."""
+    return impacted.orderBy("project_id", "root", "distance", "name", "id")
+
+
 def impact_summary(impacted: DataFrame) -> DataFrame:
     """(project_id, root, group, n) of the rows of :func:`impact`."""
     return impacted.groupBy("project_id", "root", "group").agg(F.count("*").alias("n"))
@@ -180,8 +185,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int = 3, max_l
 
     ``pairs``: (project_id, source, target). Directed paths if there are any of at most ``max_length`` edges, else
     paths that ignore direction; ties by the nodes' ids. Types of parallel edges are joined by ``/``; a step against
-    its edges says ``(reversed)``. DEFINES edges are not used. Two searches label distances first, and only nodes on a
-    short enough way are expanded.
+    its edges says ``(reversed)``. DEFINES edges are not used. A search from the targets labels distances first, and only
+    nodes on a short enough way are entered.
     """
     k = max(1, min(max_paths, 10))
     ways = edges.where("type <> 'DEFINES'").groupBy("project_id", "src", "dst").agg(F.array_join(F.sort_array(F.collect_set("type")), "/").alias("types"))
@@ -195,39 +200,77 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_paths: int = 3, max_l
     return straight.unionByName(around).select("project_id", "source", "target", "directed", "rank", "path", "edges")
 
 
-def _simple_paths(ways: DataFrame, pairs: DataFrame, k: int, max_length: int) -> DataFrame:
-    pair = ["project_id", "source", "target"]
-
-    def distances(start: str, tail: str, head: str) -> DataFrame:
-        level = pairs.select(*pair, F.col(start).alias("node"), F.lit(0).alias("d"))
-        known = level
-        for d in range(1, max_length + 1):
-            step = ways.select("project_id", F.col(tail).alias("node"), F.col(head).alias("next"))
-            level = level.join(step, ["project_id", "node"]).select(*pair, F.col("next").alias("node")).distinct().join(known, [*pair, "node"], "left_anti")
-            level = written(level.withColumn("d", F.lit(d)))
-            if level.isEmpty():
-                break
-            known = known.unionByName(level)
-        return known
-
-    to_go = written(distances("target", "dst", "src"))
-    live = pairs.join(to_go.where("node = source").select(*pair), pair, "left_semi").select(*pair, F.array("source").alias("path"), F.array().cast("array<string>").alias("edges"))
-    done = live.where("source = target").select(*pair, "path", "edges")
-    live = live.where("source <> target")
+_PAIR = ["project_id", "source", "target"]
+
+
+def _distances(ways: DataFrame, pairs: DataFrame, max_length: int) -> DataFrame:
+    """(pair, node, d): the fewest edges from each node to the pair's target, up to ``max_length``."""
+    known = level = pairs.select(*_PAIR, F.col("target").alias("node"), F.lit(0).alias("d"))
+    step = ways.select("project_id", F.col("dst").alias("node"), F.col("src").alias("next"))
+    for d in range(1, max_length + 1):
+        level = level.join(step, ["project_id", "node"]).select(*_PAIR, F.col("next").alias("node")).distinct().join(known, [*_PAIR, "node"], "left_anti")
+        level = written(level.withColumn("d", F.lit(d)))
+        if level.isEmpty():
+            break
+        known = known.unionByName(level)
+    return written(known)
+
+
+def _least_paths(ways: DataFrame, tasks: DataFrame, to_go: DataFrame, max_length: int) -> DataFrame:
+    """(pair, place, path, edges): of each task the path of the fewest edges, then the least ids, from ``spur`` to the target.
+
+    ``tasks``: (pair, place, spur, avoid, not_first), one for each pair and place; nodes to avoid, and nodes that the
+    first step may not lead to. A level holds a node once for each task, with its least way; so rows stay below tasks
+    times nodes, however many paths there are.
+    """
+    key = [*_PAIR, "place"]
+    start = tasks.select(*key, F.col("spur").alias("at"), F.array("spur").alias("path"), F.array().cast("array<string>").alias("edges"), "avoid", "not_first")
+    arrived = start.where("at = target").select(*key, "path", "edges")
+    live, seen = start.where("at <> target"), start.select(*key, F.col("at").alias("next"))
+    step = ways.select("project_id", F.col("src").alias("at"), F.col("dst").alias("next"), "step")
     for used in range(1, max_length + 1):
-        step = ways.select("project_id", F.col("src").alias("at"), F.col("dst").alias("next"), "step")
-        ahead = to_go.where(F.col("d") <= max_length - used).select(*pair, F.col("node").alias("next"), "d")
-        grown = live.withColumn("at", F.element_at("path", -1)).join(step, ["project_id", "at"]).where(~F.array_contains("path", F.col("next")))
-        grown = grown.join(ahead, [*pair, "next"]).select(*pair, F.concat("path", F.array("next")).alias("path"), F.concat("edges", F.array("step")).alias("edges"), "d")
-        # A path is worth keeping while fewer than k are sure to be shorter: those that have arrived.
-        grown = written(grown)
-        done = written(done.unionByName(grown.where("d = 0").select(*pair, "path", "edges")))
-        full = done.groupBy(*pair).agg(F.count("*").alias("n")).where(F.col("n") >= k)
-        live = grown.where("d > 0").drop("d").join(full, pair, "left_anti")
-        if live.isEmpty():
+        grown = live.join(step, ["project_id", "at"]).where(~F.array_contains("avoid", F.col("next")) & ((F.lit(used) > 1) | ~F.array_contains("not_first", F.col("next"))))
+        grown = grown.join(to_go.select(*_PAIR, F.col("node").alias("next"), "d"), [*_PAIR, "next"]).where(F.col("place") + used + F.col("d") <= max_length)
+        grown = grown.join(seen, [*key, "next"], "left_anti")
+        way = F.struct(F.concat("path", F.array("next")).alias("path"), F.concat("edges", F.array("step")).alias("edges"))
+        level = written(grown.groupBy(*key, "next").agg(F.min(way).alias("way"), F.first("avoid").alias("avoid"), F.first("not_first").alias("not_first")).select(*key, "next", "way.*", "avoid", "not_first"))
+        if level.isEmpty():
+            break
+        there = level.where("next = target")
+        arrived = arrived.unionByName(there.select(*key, "path", "edges"))
+        live = level.join(there.select(*key), key, "left_anti").withColumnRenamed("next", "at")
+        seen = seen.unionByName(level.select(*key, "next"))
+    return written(arrived)
+
+
+def _simple_paths(ways: DataFrame, pairs: DataFrame, k: int, max_length: int) -> DataFrame:
+    """The k best simple paths of each pair, one rank a round: the next best leaves a found one at some node (a spur).
+
+    After Yen (1971): of each path of the last rank every node is a spur; what comes before it stays, its nodes are
+    avoided, and so are the steps that found paths of the same beginning take. The best candidate is the next rank.
+    """
+    to_go = _distances(ways, pairs, max_length)
+    pairs = pairs.join(to_go.where("node = source").select(*_PAIR), _PAIR, "left_semi")
+    none = F.array().cast("array<string>")
+    first = pairs.select(*_PAIR, F.lit(0).alias("place"), F.col("source").alias("spur"), none.alias("avoid"), none.alias("not_first"))
+    last = _least_paths(ways, first, to_go, max_length).select(*_PAIR, F.lit(1).alias("rank"), "path", "edges")
+    found, candidates = last, None
+    for rank in range(2, k + 1):
+        spurs = last.select(*_PAIR, "path", "edges", F.explode(F.sequence(F.lit(0), F.size("path") - 2)).alias("place")).where("source <> target")
+        spurs = spurs.withColumn("begin", F.slice("path", 1, F.col("place") + 1))
+        taken = found.select(*_PAIR, F.col("path").alias("other"))
+        spurs = spurs.join(taken, _PAIR).where(F.slice("other", 1, F.col("place") + 1) == F.col("begin")).groupBy(*_PAIR, "place", "begin", "edges").agg(F.collect_set(F.get("other", F.col("place") + 1)).alias("not_first"))
+        spurs = written(spurs.select(*_PAIR, "place", "begin", F.slice("edges", 1, F.col("place")).alias("begin_edges"), F.get("begin", F.col("place")).alias("spur"), F.slice("begin", 1, F.col("place")).alias("avoid"), "not_first"))
+        ends = _least_paths(ways, spurs, to_go, max_length)
+        more = ends.join(spurs.select(*_PAIR, "place", "begin", "begin_edges"), [*_PAIR, "place"]).select(*_PAIR, F.concat("begin", F.slice("path", 2, F.size("path"))).alias("path"), F.concat("begin_edges", "edges").alias("edges"))
+        more = more if candidates is None else candidates.unionByName(more)
+        candidates = written(more.distinct().join(found, [*_PAIR, "path"], "left_anti"))
+        best = candidates.groupBy(*_PAIR).agg(F.min(F.struct(F.size("path").alias("n"), "path", "edges")).alias("b"))
+        last = written(best.select(*_PAIR, F.lit(rank).alias("rank"), "b.path", "b.edges"))
+        if last.isEmpty():
             break
-    rank = F.row_number().over(Window.partitionBy(*pair).orderBy(F.size("path"), "path"))
-    return done.withColumn("rank", rank).where(F.col("rank") <= k).select(*pair, "rank", "path", "edges")
+        found = found.unionByName(last)
+    return found.select(*_PAIR, "rank", "path", "edges")
 
 
 def _trimmed(live: DataFrame, rounds: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apiloom.functions.names import html_safe, is_test_file
@@ -81,6 +81,29 @@ def report_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return report_rows(nodes, edges).groupBy("project_id").agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
 
 
+def write_report(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Each project's report as text files in a folder ``project_id=...``; their lines in order, file after file by name.
+
+    Lines are dealt to tasks by ranges of their order and sorted there, so no project is gathered in one task.
+    """
+    order = ["project_id", "section", "place", "line"]
+    placed = written(report_rows(nodes, edges))
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).select("project_id", "line").write.mode("overwrite").partitionBy("project_id").text(path)
+
+
+def write_payload(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Each project's payload as text files of a JSON object a line, below ``project_id=.../what=...``, by id."""
+    order = ["project_id", "what", "id"]
+    placed = written(export_payload(nodes, edges))
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).select("project_id", "what", "payload").write.mode("overwrite").partitionBy("project_id", "what").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(project_id, what if there is one, file, line) of files that were written so."""
+    rows = spark.read.option("basePath", path).text(path)
+    return rows.select(*[c for c in rows.columns if c != "value"], F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+
+
 def export_payload(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project_id, what, id, payload): a JSON object for each node and edge, safe inside HTML; absent attributes are left out."""
     typed = nodes.join(degree(edges), ["project_id", "id"], "left").join(core_nodes(nodes, edges), ["project_id", "id"])

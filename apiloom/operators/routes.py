@@ -19,11 +19,16 @@ def _handled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def list_routes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project_id, method, path, full_paths, handler, line, file, is_async, mounted), in no order: a listing sorts by file, line and method."""
+    """(project_id, method, path, full_paths, handler, line, file, is_async, mounted), in no order: see :func:`in_listing_order`."""
     rows = _handled(nodes, edges)
     return rows.select("project_id", "method", F.col("full_paths")[0].alias("path"), "full_paths", "handler", F.col("handler_line").alias("line"), "file", F.col("handler_async").alias("is_async"), "mounted")
 
 
+def in_listing_order(routes: DataFrame) -> DataFrame:
+    """Rows of :func:`list_routes` as a listing shows them: by file, line and method."""
+    return routes.orderBy("project_id", "file", "line", "method", "handler")
+
+
 def route_summary(nodes: DataFrame, edges: DataFrame, files: Iterable[str] | None = None) -> DataFrame:
     """(project_id, file, method, path, local_path, handler, input_models, dependencies, response_model, line) of each route.
 

@@ -13,7 +13,7 @@ from apiloom.plans.resolve import resolve_refs
 from apiloom.queries import key_graph, once, registered
 from apiloom.sources.corpus import supplier_projects
 from apiloom.sources.extract import extract_facts
-from apiloom.sources.shared import shared_dir, written
+from apiloom.sources.shared import deleted, shared_dir, written
 from apiloom.sources.store import Store, graph_from_json, graph_to_json
 from apiloom.streaming.refresh import refresh_store
 
@@ -132,6 +132,41 @@ def site_report(spark, sf_dir):
     return report.report_rows(*site_graph(spark, sf_dir)).where("section = '1 routes' and place not like ' %'").select("project_id", "line")
 
 
+@registered(_ROWS + """SELECT project_id, '| ' || method || ' | `' || path || '` | `' || fn || '` | — |' AS line, 'report' AS what FROM r
+    UNION ALL SELECT project_id, '{"from":"' || m || ':weigh' || k || '","to":"template:t' || t || '.html","type":"RENDERS"}', 'edge' FROM s""")
+def site_files(spark, sf_dir):
+    """Route lines and rendering links, read back from the report and payload files of all projects."""
+    path = f"{shared_dir(spark).rstrip('/')}/apiloom-files-{uuid.uuid4().hex}"
+    report.write_report(*site_graph(spark, sf_dir), f"{path}/report")
+    report.write_payload(*site_graph(spark, sf_dir), f"{path}/payload")
+    lines = report.read_lines(spark, f"{path}/report").where("line like '| %' and line not like '| Method%'").select("project_id", "line", F.lit("report").alias("what"))
+    links = report.read_lines(spark, f"{path}/payload").where(F.get_json_object("line", "$.type") == "RENDERS").select("project_id", "line", "what")
+    both = written(lines.unionByName(links))
+    deleted(spark, path)
+    return both
+
+
+_PATHS = """
+    WITH n AS (SELECT count(*) AS n FROM supplier), u AS (SELECT s_suppkey % n AS i, n FROM supplier, n),
+    e AS (SELECT DISTINCT a, b FROM (SELECT i AS a, (i * 7 + 3) % n AS b FROM u UNION ALL SELECT i, (i + 1) % n FROM u UNION ALL SELECT i, (i * 5 + 1) % n FROM u)),
+    """
+
+
+@registered("WITH RECURSIVE " + _PATHS.split("WITH ", 1)[1] + """w AS (SELECT a AS s, b AS z, [a, b] AS path FROM e WHERE a % 5 = 0 AND a <> b UNION ALL SELECT s, b, list_append(path, b) FROM w JOIN e ON e.a = w.z WHERE len(path) < 6 AND NOT list_contains(path, b)),
+    t AS (SELECT s, z, list_transform(path, lambda x: lpad(CAST(x AS VARCHAR), 9, '0')) AS path FROM w, n WHERE z = (s + 10) % n), r AS (SELECT *, row_number() OVER (PARTITION BY s, z ORDER BY len(path), path) AS rank FROM t)
+    SELECT lpad(CAST(s AS VARCHAR), 9, '0') AS source, lpad(CAST(z AS VARCHAR), 9, '0') AS target, CAST(rank AS INTEGER) AS rank, array_to_string(path, ' ') AS path FROM r WHERE rank <= 3""")
+def ranked_paths(spark, sf_dir):
+    """The three shortest paths of at most five links from every fifth supplier to the tenth after it, each being linked to three others."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    n = rows.count()
+    at = F.col("s_suppkey") % n
+    node = lambda c: F.lpad((c % n).cast("string"), 9, "0")
+    links = rows.select(F.lit("keys").alias("project_id"), node(at).alias("src"), F.explode(F.array(node(at * 7 + 3), node(at + 1), node(at * 5 + 1))).alias("dst"), F.lit("CALLS").alias("type")).where("src <> dst")
+    pairs = rows.where(at % 5 == 0).select(F.lit("keys").alias("project_id"), node(at).alias("source"), node(at + 10).alias("target"))
+    found = graph.shortest_paths(links, pairs, 3, 5).where("directed")
+    return found.select("source", "target", F.col("rank").cast("int").alias("rank"), F.array_join("path", " ").alias("path"))
+
+
 @registered("""WITH n AS (SELECT 'nation:' || n_nationkey AS root, 'customer:' || c_custkey AS id FROM nation JOIN customer ON c_nationkey = n_nationkey
     UNION ALL SELECT 'nation:' || n_nationkey, 'supplier:' || s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey),
     k AS (SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY id) AS rank, count(*) OVER (PARTITION BY root) AS n FROM n)
