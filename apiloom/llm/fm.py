@@ -104,7 +104,7 @@ class FitLimits:
     max_terms: int = 4_096
     least_z: float = 3.5
     least_rows: int = 10
-    least_share: float = 0.002
+    least_share: float = 0.005
     pair_terms: int = 1 << 15
     max_pairs: int = 4_096
     least_pair_z: float = 6.0
