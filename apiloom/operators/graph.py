@@ -134,7 +134,16 @@ def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1, edge_types: It
     return found.join(full, ["project_id", "root"])
 
 
-def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 6) -> DataFrame:
+#: A frontier of so many rows at most is sent to the edges; a larger one meets them in a shuffle, where hubs can be split.
+SMALL_FRONTIER = 20_000
+
+
+def _sent(frontier: DataFrame, most: int) -> DataFrame:
+    """The frontier, broadcast if it has been counted to be small; else joined by sorting, which Spark splits at hot keys."""
+    return F.broadcast(frontier) if frontier.count() <= most else frontier.hint("merge")
+
+
+def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 6, small_frontier: int = SMALL_FRONTIER) -> DataFrame:
     """(project_id, root, id, type, name, group, distance, via): all that relies on each root, by breadth-first search.
 
     Edges of ``IMPACT_EDGES`` are followed backwards; from a router or app its routes and routers too; MIRRORS only
@@ -155,7 +164,7 @@ def impact(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int
     seen = start.select("project_id", "root", F.col("root").alias("id"))
     found = None
     for distance in range(1, max_depth + 1):
-        reached = frontier.join(steps, ["project_id", "at"]).where((F.lit(distance) == 1) | ~F.col("mirror")).join(seen, ["project_id", "root", "id"], "left_anti")
+        reached = steps.join(_sent(frontier, small_frontier), ["project_id", "at"]).where((F.lit(distance) == 1) | ~F.col("mirror")).join(seen, ["project_id", "root", "id"], "left_anti")
         first = reached.groupBy("project_id", "root", "id").agg(F.min(F.struct(F.concat("way", F.array(step)).alias("way"), "chain")).alias("first"))
         level = first.join(names, ["project_id", "id"])
         level = written(level.select("project_id", "root", "id", "type", "name", F.lit(distance).alias("distance"), "first.way", F.concat(F.array("name"), "first.chain").alias("chain")))

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apiloom.operators import audit, deps, graph, report, routes
+from apiloom.operators import audit, deps, graph, models, report, routes
 from apiloom.plans.build import all_refs, build_graph
 from apiloom.plans.resolve import resolve_refs
 from apiloom.queries import key_graph, once, registered
-from apiloom.sources.corpus import supplier_projects
-from apiloom.sources.extract import extract_facts
+from apiloom.sources.corpus import part_projects, supplier_projects
+from apiloom.sources.extract import dealt_by_size, extract_facts
 from apiloom.sources.shared import deleted, shared_dir, written
 from apiloom.sources.store import Store, graph_from_json, graph_to_json
 from apiloom.streaming.refresh import refresh_store
@@ -176,3 +176,50 @@ def limited_neighbors(spark, sf_dir):
     nodes, edges = key_graph(spark, sf_dir)
     roots = nodes.where("id like 'nation:%'").select("project_id", F.col("id").alias("root"))
     return graph.neighbors(edges, roots, 1, ["USES"], "in", 5).select("root", "id", F.col("rank").cast("int").alias("rank"), "truncated")
+
+
+def stock_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once("stock facts", spark, sf_dir, lambda: written(extract_facts(dealt_by_size(part_projects(spark, sf_dir)))))
+
+
+def stock_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return once("stock graph", spark, sf_dir, lambda: build_graph(stock_facts(spark, sf_dir)))
+
+
+# What the projects written from parts hold: k a part, z its size, m its remainder, f its module.
+_PARTS = r"""WITH s AS (SELECT 'brand_' || regexp_extract(p_brand, '(\d+)$', 1) AS project_id, CAST(p_partkey AS VARCHAR) AS k, p_size AS z, p_partkey % 9 AS m, 'stock.p' || p_partkey AS f, 'stock/p' || p_partkey || '.py' AS file FROM part) """
+
+
+@registered(_PARTS + """SELECT project_id, src, type, dst, confidence FROM (
+    SELECT project_id, f || ':Item' || k AS src, 'INHERITS' AS type, f || ':Root' || k AS dst, NULL::DOUBLE AS confidence FROM s UNION ALL SELECT project_id, f || ':Peer' || k, 'INHERITS', f || ':Root' || k, NULL FROM s
+    UNION ALL SELECT project_id, f || ':Item' || k || 'Update', 'INHERITS', f || ':Item' || k || 'Create', NULL FROM s UNION ALL SELECT project_id, f || ':Item' || k, 'MAPS_TO', 'table:item_' || k, NULL FROM s
+    UNION ALL SELECT project_id, f || ':Peer' || k, 'MAPS_TO', 'table:peer_' || m, NULL FROM s UNION ALL SELECT project_id, f || ':Item' || k, 'REFERENCES', 'table:bin_' || z, NULL FROM s
+    UNION ALL SELECT project_id, f || ':Item' || k, 'RELATES_TO', f || ':Peer' || k, NULL FROM s UNION ALL SELECT project_id, f || ':Page' || k, 'USES', f || ':Item' || k || 'Update', NULL FROM s
+    UNION ALL SELECT project_id, f || ':Item' || k || 'Create', 'MIRRORS', f || ':Item' || k, 0.5 FROM s UNION ALL SELECT project_id, f || ':Item' || k || 'Update', 'MIRRORS', f || ':Item' || k, 0.33 FROM s
+    UNION ALL SELECT project_id, f || ':stray' || k, 'DEPENDS_ON', 'external:outside' || m, NULL FROM s)""")
+def stock_links(spark, sf_dir):
+    """Links of the models and schemas of every part, and dependencies that no file defines."""
+    kinds = ("INHERITS", "MAPS_TO", "REFERENCES", "RELATES_TO", "USES", "MIRRORS", "DEPENDS_ON")
+    return graph.select_edges(stock_graph(spark, sf_dir)[1], kinds).select("project_id", "src", "type", "dst", "confidence")
+
+
+@registered(_PARTS + "SELECT project_id, file AS path, name FROM (SELECT project_id, file, unnest(['Item' || k || 'Create', 'Item' || k || 'Update', 'Page' || k]) AS name FROM s)")
+def stock_models(spark, sf_dir):
+    return models.list_models(stock_facts(spark, sf_dir))
+
+
+@registered(_PARTS + "SELECT project_id, file AS path, 'Item' || k || 'Create' AS model, 'size_' || z || ':int: note:str:''' || m || '''' AS fields FROM s")
+def stock_fields(spark, sf_dir):
+    asked = stock_facts(spark, sf_dir).where("kind = 'any_class' and name like 'Item%Create'").select("project_id", "path", F.col("name").alias("model"))
+    rows = models.inspect_model(stock_facts(spark, sf_dir), asked)
+    each = F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["type"], F.coalesce(x["default"], F.lit(""))))
+    return rows.select("project_id", "path", "model", F.array_join(each, " ").alias("fields"))
+
+
+@registered(_PARTS + "SELECT project_id, 'Item' || k AS orm_model, 'Item' || k || 'Update' AS schema_model, 'extra note' AS in_schema_not_in_orm, 'bin_id id' AS in_orm_not_in_schema, 'size_' || z AS matching_fields FROM s")
+def stock_diff(spark, sf_dir):
+    """Each part's model beside the schema that inherits its fields."""
+    named = stock_facts(spark, sf_dir).where("kind = 'any_class' and name rlike '^Item[0-9]+$'")
+    pairs = named.select("project_id", F.col("path").alias("orm_file"), F.col("name").alias("orm_model"), F.col("path").alias("schema_file"), F.concat("name", F.lit("Update")).alias("schema_model"))
+    rows = models.schema_orm_diff(stock_facts(spark, sf_dir), pairs)
+    return rows.withColumns({c: F.array_join(c, " ") for c in ("in_schema_not_in_orm", "in_orm_not_in_schema", "matching_fields")})

@@ -165,3 +165,41 @@ async def again%1$s(): ...
     shared = suppliers.select("project_id").distinct().select("project_id", F.explode(fixed).alias("f")).select("project_id", "f.path", "f.content")
     both = files.unionByName(shared)
     return both.select("project_id", "path", F.lit(0).cast("long").alias("mtime_ns"), F.octet_length("content").cast("long").alias("size"), F.col("content").cast("binary").alias("content"))
+
+
+def part_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files of a project for each brand, a file for each part: its ORM models and schemas, told by the part's row."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", F.concat(F.lit("brand_"), F.regexp_extract("p_brand", r"(\d+)$", 1)).alias("project_id"))
+    text = '''from pydantic import BaseModel
+from sqlalchemy import ForeignKey
+from sqlalchemy.orm import DeclarativeBase, Mapped, mapped_column, relationship
+
+class Root%1$s(DeclarativeBase):
+    pass
+
+class Item%1$s(Root%1$s):
+    __tablename__ = "item_%1$s"
+    id: Mapped[int] = mapped_column(primary_key=True)
+    size_%2$s: Mapped[int]
+    bin_id: Mapped[int] = mapped_column(ForeignKey("bin_%2$s.id"))
+    peers = relationship("Peer%1$s")
+
+class Peer%1$s(Root%1$s):
+    __tablename__ = "peer_%3$s"
+    id: Mapped[int] = mapped_column(primary_key=True)
+
+class Item%1$sCreate(BaseModel):
+    size_%2$s: int
+    note: str = "%3$s"
+
+class Item%1$sUpdate(Item%1$sCreate):
+    extra: str
+
+class Page%1$s(BaseModel):
+    rows: list[Item%1$sUpdate]
+
+def stray%1$s(x=Depends(outside%3$s)): ...
+'''
+    key = F.col("p_partkey").cast("string")
+    files = parts.select("project_id", F.concat(F.lit("stock/p"), key, F.lit(".py")).alias("path"), F.format_string(text, key, F.col("p_size").cast("string"), (F.col("p_partkey") % 9).cast("string")).alias("content"))
+    return files.select("project_id", "path", F.lit(0).cast("long").alias("mtime_ns"), F.octet_length("content").cast("long").alias("size"), F.col("content").cast("binary").alias("content"))

@@ -304,8 +304,24 @@ def facts_of(content: bytes | str | None, module: str, is_package: bool) -> list
     return [{"kind": "module", "name": module, "value": error, "ord": -1}, *rows]
 
 
+def dealt_by_size(source_files: DataFrame, task_bytes: int = 32 << 20) -> DataFrame:
+    """The files in partitions of about ``task_bytes``: a file that fills one has it to itself, so no other file waits for it.
+
+    Worth its shuffle where few files hold many of the bytes. ``size`` counts, else the content's length.
+    """
+    size = F.coalesce(F.col("size") if "size" in source_files.columns else F.lit(None).cast("long"), F.octet_length("content").cast("long"), F.lit(0).cast("long"))
+    sized = source_files.withColumn("__size", size)
+    large = sized.where(F.col("__size") >= task_bytes).select("project_id", "path").distinct().orderBy("project_id", "path").collect()  # of total / task_bytes at most
+    rest = sized.where(F.col("__size") < task_bytes).agg(F.sum("__size")).first()[0] or 0
+    parts = max(1, -(-rest // task_bytes))
+    own = source_files.sparkSession.createDataFrame([(r.project_id, r.path, parts + i) for i, r in enumerate(large)], "project_id string, path string, __own int")
+    placed = source_files.join(F.broadcast(own), ["project_id", "path"], "left")
+    slot = F.coalesce("__own", F.pmod(F.xxhash64("project_id", "path"), F.lit(parts)).cast("int"))
+    return placed.repartitionById(parts + len(large), slot).select(*source_files.columns)
+
+
 def extract_facts(source_files: DataFrame) -> DataFrame:
-    """Facts (``schemas.FACTS``) of source files (project_id, path, content). No shuffle.
+    """Facts (``schemas.FACTS``) of source files (project_id, path, content). No shuffle; see :func:`dealt_by_size` for uneven files.
 
     A file that does not parse gives one row with the error. A null content is an empty file.
     """
