@@ -355,7 +355,7 @@ def shared_beside(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return both.withColumn("before", F.greatest(F.lit(0), F.least("before", room)))
 
 
-def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_run: int = 40, least_words: int = 8) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, words: int = 5, similarity: float = 0.8, least_run: int = 25, least_words: int = 8) -> DataFrame:
     """(doc_id, start, n_words, keeper_doc_id, keeper_start): ranges to remove, in words of their text, none twice.
 
     What counts as a passage is a stretch of at least ``least_run`` words that near copies cover, be they lines or pieces

@@ -356,9 +356,9 @@ def test_passages_have_one_least_length_however_laid_out(spark):
     for r in repeated_paragraphs(spark.createDataFrame(docs, SCHEMA)).collect():
         gone[r.doc_id] += r.n_words
     for doc, (n, layout, copy) in asked.items():
-        if not copy or n < 39:
+        if not copy or n < 25:
             assert not gone[doc], (n, layout)
-        elif n >= 40 and layout != "inside":
+        elif layout != "inside":
             assert gone[doc] >= 0.9 * n, (n, layout)
         elif n == 60:
             assert gone[doc] >= 0.8 * n, (n, layout)
