@@ -165,7 +165,7 @@ class FileFacts:
             text = text_of(n) if id(n) not in self.docstrings else None
             if isinstance(n, ast.JoinedStr):
                 text = "".join(str(v.value) if isinstance(v, ast.Constant) else "?" for v in n.values)
-            if text and (len(text.split(None, 1)) > 1 or "/*" in text):
+            if text and len(text.split(None, 1)) > 1:
                 self.say("text", owner=me, value=text)
 
     def param(self, me: str, arg: ast.arg, default: ast.AST | None) -> None:
