@@ -162,7 +162,7 @@ def ranked_paths(spark, sf_dir):
     at = F.col("s_suppkey") % n
     node = lambda c: F.lpad((c % n).cast("string"), 9, "0")
     links = rows.select(F.lit("keys").alias("project_id"), node(at).alias("src"), F.explode(F.array(node(at * 7 + 3), node(at + 1), node(at * 5 + 1))).alias("dst"), F.lit("CALLS").alias("type")).where("src <> dst")
-    pairs = rows.where(at % 5 == 0).select(F.lit("keys").alias("project_id"), node(at).alias("source"), node(at + 10).alias("target"))
+    pairs = rows.where(at % 5 == 0).select(F.lit("keys").alias("project_id"), node(at).alias("source"), node(at + 10).alias("target")).where("source <> target")
     found = graph.shortest_paths(links, pairs, 3, 5).where("directed")
     return found.select("source", "target", F.col("rank").cast("int").alias("rank"), F.array_join("path", " ").alias("path"))
 
