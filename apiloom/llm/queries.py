@@ -100,15 +100,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
     "op7_topk": """
         WITH v AS (
-            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
         s AS (
-            SELECT q.vec_id AS query_id, p.vec_id,
+            SELECT q.row_no, q.vec_id AS query_id, p.vec_id,
                    CAST(list_sum(list_transform(list_zip(q.v, p.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-            FROM v q JOIN v p ON q.vec_id % 50 = 0 AND q.vec_id <> p.vec_id AND len(q.v) = len(p.v)),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+            FROM v q JOIN v p ON q.vec_id % 50 = 0 AND q.row_no <> p.row_no AND len(q.v) = len(p.v) AND len(q.v) > 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op8_line_dedup": """
         WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),

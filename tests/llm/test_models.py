@@ -180,26 +180,30 @@ def test_ids_equal_the_tokenizers_own():
 
 
 def brute_top(rows, k=5, every=50):
-    good = {(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    good = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
+    for own, (q, a) in enumerate(good):
         if q % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), p) for p, b in good if p != q and len(a) == len(b))[:k]
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), p) for row, (p, b) in enumerate(good) if row != own and len(a) == len(b))[:k]
             out += [(q, n + 1, p, -s) for n, (s, p) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("size", [4096, 16])
-def test_top_k_equals_brute_force(spark, size):
+@pytest.mark.parametrize(("size", "rows_of"), [(4096, 1 << 18), (16, 3)])
+def test_top_k_equals_brute_force(spark, size, rows_of):
     rng = np.random.default_rng(2)
     rows = [(i, (rng.normal(size=6) * rng.choice([0.1, 1, 5])).tolist()) for i in range(400)]
     rows += [(i, rows[7][1]) for i in range(400, 480)] + [(500, [0.0] * 6), (550, [1.0] * 4), (551, [2.0] * 4), (600, None), (601, [None] * 6), (602, [math.nan] * 6), (603, [math.inf] * 6), (None, rows[3][1]), (100, rows[100][1]), (650, [])]
+    # Rows that repeat, under a query's id and another, with the same vector and with others.
+    rows += [(7, [9.0] * 6)] * 7 + [(150, rows[150][1])] * 2 + [(200, [3.0, -4.0, 0.0, 1.0, 2.0, 5.0]), (9, rows[10][1]), (9, rows[9][1])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    got = top_k(frame, bucket_rows=size, query_rows=3)
+    got = top_k(frame, bucket_rows=size, query_rows=rows_of)
     assert sorted(map(tuple, got.collect())) == brute_top(rows)
     assert top_k(frame.limit(0)).count() == 0
     few = top_k(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>"))
     assert sorted(map(tuple, few.collect())) == brute_top(rows[:3])
+    long = [(i, [float(i % 7)] * 20_000) for i in range(48, 53)]
+    assert sorted(map(tuple, top_k(spark.createDataFrame(long, "vec_id long, embedding array<float>"), bucket_rows=2).collect())) == brute_top(long)
 
 
 def test_urls(spark):
