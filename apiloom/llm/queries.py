@@ -20,7 +20,7 @@ from apiloom.llm.simhash import near_duplicates
 from apiloom.llm.suffixes import drop_repeats
 from apiloom.llm.topk import top_k
 from apiloom.llm.toxicity import fit_toxicity, held_out, toxicity_scores
-from apiloom.llm.urlfilter import fit_url_model, judge_urls, rule_labelled
+from apiloom.llm.urlfilter import fit_url_model, host_and_path, judge_urls, matched_rule, rule_labelled
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, fit_url_model(rule_labelled(pages)))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say of every page; the verdict is null where none fits and operator 9's model decides."""
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url")
+    host, path = host_and_path(F.col("url"))
+    rule, verdict = matched_rule(host, path)
+    return pages.select("page_id", host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("verdict"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", "item_id", "text"), words=5, similarity=0.8).select("doc_id", "item_id", "start", "similarity")
 
@@ -85,10 +93,18 @@ def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_packing, op3_paragraph_dedup, op4_quality, op5_suffix_dedup, op6_simhash, op7_topk, op8_line_dedup, op9_url_filter, op10_decontaminate, op11_lexical_search, op12_centroids, op13_main_text)
+    f.__name__: f for f in (op1_toxicity, op2_packing, op3_paragraph_dedup, op4_quality, op5_suffix_dedup, op6_simhash, op7_topk, op8_line_dedup, op9_url_filter, op10_decontaminate, op11_lexical_search, op12_centroids, op13_main_text, url_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "url_rules": r"""
+        WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, row_number() OVER () AS row_no, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path,
+                     translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+        r(verdict, site, begins) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+        m AS (SELECT row_no, arg_max(site || begins, length(site || begins)) AS rule, arg_max(verdict, length(site || begins)) AS verdict
+              FROM h JOIN r ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, begins) GROUP BY row_no)
+        SELECT page_id, host, path, rule, verdict FROM h LEFT JOIN m USING (row_no)""",
     "op11_lexical_search": SEARCH_SQL,
     "op12_centroids": clustering_sql(),
     # What stands between the article's tags; differencing is beyond SQL and tested against brute force.
@@ -98,6 +114,24 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT page_id, url, replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"') AS t FROM b),
         d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM c)
         SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
+    "op5_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        -- Pieces of 1,000 starts, so that no long text is cut 200 bytes at a time.
+        p AS (SELECT row_no, a, substr(h, 2 * a + 1, 2398) AS piece FROM (SELECT row_no, h, unnest(range(0, length(h) // 2 - 199, 1000)) AS a FROM d)),
+        s AS (SELECT row_no, a + i AS start, md5_number(substr(piece, 2 * i + 1, 400)) AS string
+              FROM (SELECT row_no, a, piece, unnest(range(0, least(1000, length(piece) // 2 - 199))) AS i FROM p)),
+        again AS (SELECT string FROM s GROUP BY string HAVING count(*) > 1),
+        c AS (SELECT row_no, start, lag(start) OVER (PARTITION BY row_no ORDER BY start) AS before FROM s JOIN again USING (string)),
+        g AS (SELECT row_no, start, sum(CASE WHEN before IS NULL OR start > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY row_no ORDER BY start) AS run FROM c),
+        spans AS (SELECT row_no, min(start) AS a, max(start) + 200 AS b FROM g GROUP BY row_no, run),
+        gone AS (SELECT row_no, list(a ORDER BY a) AS s, list(b ORDER BY a) AS e FROM spans GROUP BY row_no),
+        k AS (SELECT doc_id, h, s, e,
+                     CASE WHEN s IS NULL THEN h ELSE list_aggregate(list_transform(range(0, len(s) + 1), lambda i:
+                         substr(h, CASE WHEN i = 0 THEN 1 ELSE 2 * e[i] + 1 END,
+                                CASE WHEN i = len(s) THEN length(h) ELSE 2 * s[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE 2 * e[i] END)), 'string_agg', '') END AS kept
+              FROM d LEFT JOIN gone USING (row_no))
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST((length(h) - length(kept)) // 2 AS BIGINT) AS n_removed,
+               CAST(coalesce(len(s), 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k""",
     "op7_topk": """
         WITH v AS (
             SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
