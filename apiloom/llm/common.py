@@ -31,13 +31,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc_id"), F.xxhash64(no_id, F.col("text")).alias("text_key"), "text", no_id.alias("no_id"))
 
 
-def in_blocks(rows: DataFrame, sizes: DataFrame, ids: list[str], most: int) -> DataFrame:
+def in_blocks(rows: DataFrame, sizes: DataFrame, ids: list[str], most: int, weight: Column | None = None, heaviest: int = 1) -> DataFrame:
     """``rows`` (key, ids ...) with ``block``: rows of a key meet within a block.
 
-    A key that has more than ``most`` rows in ``sizes`` (key) is dealt into parts, and a block is a pair of parts; so no
-    block grows beyond about twice ``most``, and every two rows of a key meet in one block at least.
+    A key that has more than ``most`` rows in ``sizes`` (key), or rows of more than ``heaviest`` in the sum of their
+    ``weight``, is dealt into parts, and a block is a pair of parts; so no block grows beyond about twice ``most`` rows or
+    twice ``heaviest`` (or one row, if that is heavier), and every two rows of a key meet in one block at least.
     """
-    large = sizes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    share = F.count("*") / most
+    if weight is not None:
+        share = F.greatest(share, F.sum(weight) / heaviest)
+    large = sizes.groupBy("key").agg(F.ceil(share).cast("int").alias("parts")).where("parts > 1")
     dealt = rows.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64(*ids), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.withColumn("block", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).drop("parts", "part", "other")

@@ -3,11 +3,13 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from apiloom.llm.common import read_table, written
 from apiloom.llm.decontam import contaminated
+from apiloom.llm.nearcopies import near_copies, shared_elements
 from apiloom.llm.queries import op1_toxicity
 from tests.llm.test_dedup import brute_fingerprint
 
@@ -76,6 +78,25 @@ def test_near_dedup_equals_brute_force(spark):
     assert far > 10 and len(want) < len(ids) and kept == want
 
 
+def test_near_copies_of_long_texts_in_small_blocks(spark, monkeypatch):
+    """Texts of 20,000 words, more of them in a shard than a block may hold, beside short and empty ones."""
+    monkeypatch.setattr("apiloom.llm.nearcopies.BLOCK_SHINGLES", 30_000)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(20_000)]
+    rows = [(0, " ".join(base)), (1, " ".join(base[:10_000] + ["new"] + base[10_000:]))]
+    rows += [(i, " ".join(base[: 20_000 - 30 * i])) for i in range(2, 10)]
+    rows += [(20, " ".join(base[10_000:])), (21, ""), (22, None), (23, "a b"), (24, "a b"), (25, "a c")]
+    got = dict(map(tuple, near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    assert got == {**dict.fromkeys(range(10), 0), 20: 20, 21: 21, 22: 21, 23: 23, 24: 23, 25: 25}
+
+
+def test_shared_elements():
+    rng = np.random.default_rng(4)
+    for a, b in ((0, 0), (0, 5), (1, 1), (40, 7), (300, 300)):
+        x, y = (np.unique(rng.integers(0, 60, n).astype(np.uint64) << np.uint64(58)) if n < 300 else np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (a, b))
+        assert shared_elements(x, y) == shared_elements(y, x) == len(set(x.tolist()) & set(y.tolist()))
+
+
 def test_an_empty_corpus_passes(spark, tmp_path):
     docs = read_table(spark, SF, "documents").limit(0)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
