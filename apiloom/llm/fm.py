@@ -116,6 +116,8 @@ class FitLimits:
 
 #: Terms of which a task counts all pairs with as many others.
 BLOCK_TERMS = 1_024
+#: Rows of a block that are unpacked to numbers at once; the counts of such parts are whole numbers and add up exactly.
+ROWS_AT_ONCE = 2_048
 
 
 def telling_pairs(rows: DataFrame, p: np.ndarray, n: np.ndarray, terms: np.ndarray, base: float, limits: FitLimits) -> list[int]:
@@ -150,12 +152,22 @@ def telling_pairs(rows: DataFrame, p: np.ndarray, n: np.ndarray, terms: np.ndarr
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, positive = shared.value
-        unpacked = lambda begin: np.unpackbits(matrix[:, begin // 8 : (begin + BLOCK_TERMS) // 8], axis=1)[:, : max(0, min(BLOCK_TERMS, k - begin))].astype(np.float32)
+
+        def unpacked(begin: int, at: int) -> np.ndarray:
+            bits = np.unpackbits(matrix[at : at + ROWS_AT_ONCE, begin // 8 : (begin + BLOCK_TERMS) // 8], axis=1)
+            return bits[:, : max(0, min(BLOCK_TERMS, k - begin))].astype(np.float32)
+
+        def counted(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+            both = ones = np.zeros((min(BLOCK_TERMS, k - i), min(BLOCK_TERMS, k - j)), np.float32)
+            for at in range(0, len(matrix), ROWS_AT_ONCE):
+                x, z, hit = unpacked(i, at), unpacked(j, at), positive[at : at + ROWS_AT_ONCE]
+                both, ones = both + x.T @ z, ones + x[hit].T @ z[hit]
+            return both.astype(float), ones.astype(float)
+
         for batch in batches:
             for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
-                x, z = unpacked(i), unpacked(j)
-                both, ones = (x.T @ z).astype(float), (x[positive].T @ z[positive]).astype(float)
-                a, b = np.nonzero((both >= limits.least_rows) & (i + np.arange(x.shape[1])[:, None] < j + np.arange(z.shape[1])[None]))
+                both, ones = counted(i, j)
+                a, b = np.nonzero((both >= limits.least_rows) & (i + np.arange(both.shape[0])[:, None] < j + np.arange(both.shape[1])[None]))
                 both, ones, a, b = both[a, b], ones[a, b], a + i, b + j
                 # Of terms that nearly always come together the pair tells nothing new.
                 own = both < 0.9 * np.minimum(p[a] + n[a], p[b] + n[b])
