@@ -19,7 +19,7 @@ from apiloom.streaming.refresh import refresh_store
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once("site facts", spark, sf_dir, lambda: written(extract_facts(supplier_projects(spark, sf_dir))))
+    return once("site facts", spark, sf_dir, lambda: written(extract_facts(dealt_by_size(supplier_projects(spark, sf_dir)))))
 
 
 def site_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
