@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apiloom.operators import audit, deps, graph, models, report, routes
-from apiloom.plans.build import all_refs, build_graph
+from apiloom.plans.build import all_refs, build_graph, by_kind
 from apiloom.plans.resolve import resolve_refs
 from apiloom.queries import key_graph, once, registered
 from apiloom.sources.corpus import part_projects, supplier_projects
@@ -19,11 +19,11 @@ from apiloom.streaming.refresh import refresh_store
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once("site facts", spark, sf_dir, lambda: written(extract_facts(dealt_by_size(supplier_projects(spark, sf_dir)))))
+    return once("site facts", spark, sf_dir, lambda: written(by_kind(extract_facts(dealt_by_size(supplier_projects(spark, sf_dir))))))
 
 
 def site_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return once("site graph", spark, sf_dir, lambda: build_graph(facts(spark, sf_dir)))
+    return once("site graph", spark, sf_dir, lambda: build_graph(facts(spark, sf_dir), grouped=True))
 
 
 _ROWS = """
@@ -179,11 +179,11 @@ def limited_neighbors(spark, sf_dir):
 
 
 def stock_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once("stock facts", spark, sf_dir, lambda: written(extract_facts(dealt_by_size(part_projects(spark, sf_dir)))))
+    return once("stock facts", spark, sf_dir, lambda: written(by_kind(extract_facts(dealt_by_size(part_projects(spark, sf_dir))))))
 
 
 def stock_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return once("stock graph", spark, sf_dir, lambda: build_graph(stock_facts(spark, sf_dir)))
+    return once("stock graph", spark, sf_dir, lambda: build_graph(stock_facts(spark, sf_dir), grouped=True))
 
 
 # What the projects written from parts hold: k a part, z its size, m its remainder, f its module.
