@@ -86,14 +86,13 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = jumped
 
 
-def linked_within(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
-    """For each member the least index in its group that a chain of links within the radius reaches.
+def within(fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, node) of members of a group within the radius, both ways and each with itself, some at a time.
 
     ``group`` is sorted. Every member searches its group's tree, all members level by level, following only edges
     within the radius of its distance to the node.
     """
     parent, edge, root = _grow(fp, group)
-    label = np.arange(len(fp))
     code = parent * 65 + edge
     order = np.argsort(code, kind="stable")
     code = code[order]
@@ -107,12 +106,19 @@ def linked_within(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
         while len(query):
             far = np.bitwise_count(fp[query] ^ fp[node]).astype(np.int64)
             near = far <= radius
-            _union(label, query[near], node[near])
+            yield query[near], node[near]
             low = np.searchsorted(code, node * 65 + np.maximum(far - radius, 0), "left")
             high = np.searchsorted(code, node * 65 + np.minimum(far + radius, 64), "right")
             n = high - low
             query = np.repeat(query, n)
             node = order[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+
+
+def linked_within(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """For each member the least index in its group that a chain of links within the radius reaches. ``group`` is sorted."""
+    label = np.arange(len(fp))
+    for query, node in within(fp, group, radius):
+        _union(label, query, node)
     return label
 
 

@@ -7,10 +7,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from apiloom.llm import nearcopies
 from apiloom.llm.common import read_table, written
 from apiloom.llm.decontam import contaminated
 from apiloom.llm.nearcopies import near_copies, shared_elements
 from apiloom.llm.queries import op1_toxicity
+from apiloom.llm.simhash import within
 from tests.llm.test_dedup import brute_fingerprint
 
 SF = "/root/testdata/sf0.01"
@@ -113,3 +115,17 @@ def test_odd_rows_pass(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
     assert docs.count() > 0
+
+
+def test_near_copies_come_from_trees_of_fingerprints(monkeypatch):
+    """Trees of several shards tell all pairs within the radius, and what they do not tell is not compared."""
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 62, 6, dtype=np.int64).astype(np.uint64).repeat(9) ^ np.uint64(1) << rng.integers(0, 64, 54).astype(np.uint64)
+    group = np.sort(rng.integers(0, 4, 54))
+    found = {(int(a), int(b)) for query, node in within(fps, group, 24) for a, b in zip(query, node, strict=True)}
+    assert found == {(a, b) for a in range(54) for b in range(54) if group[a] == group[b] and int(fps[a] ^ fps[b]).bit_count() <= 24}
+    sets = [np.arange(200, dtype=np.uint64), np.arange(10, 210, dtype=np.uint64), np.arange(200, dtype=np.uint64)]
+    prints, shards = np.array(list(map(nearcopies.simhash, sets)), np.uint64), np.array([0, 0, 1])
+    assert nearcopies.linked_sets(sets, prints, shards, 0.8, 24).tolist() == [0, 0, 2]
+    monkeypatch.setattr(nearcopies, "within", lambda fp, group, radius: iter(()))
+    assert nearcopies.linked_sets(sets, prints, shards, 0.8, 24).tolist() == [0, 1, 2]
