@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from apiloom.functions.names import short_name, split_route_query
 from apiloom.operators.deps import direct_dependencies
 from apiloom.schemas import FUNCTION_TYPES
+from apiloom.sources.shared import written
 
 
 def _handled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,10 +38,12 @@ def route_summary(nodes: DataFrame, edges: DataFrame, files: Iterable[str] | Non
     rows = _handled(nodes, edges)
     if files is not None:
         rows = rows.where(F.col("file").isin(*files))
-    names = nodes.select("project_id", F.col("id").alias("dep"), F.col("name").alias("dep_name"))
-    listed = lambda df, key, by, what: df.groupBy("project_id", F.col(key).alias("handler_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(by, "dep_name"))), lambda x: x["dep_name"]).alias(what))
-    deps = listed(direct_dependencies(edges).join(names, ["project_id", "dep"]), "id", "pos", "dependencies")
-    taken = listed(edges.where("type = 'ACCEPTS'").withColumn("dep", F.col("dst")).join(names.alias("n"), ["project_id", "dep"]), "src", "ord", "input_models")
+    direct = written(direct_dependencies(edges).select("project_id", F.col("id").alias("handler_id"), "dep", "pos"))
+    accepts = edges.where("type = 'ACCEPTS'").select("project_id", F.col("src").alias("handler_id"), F.col("dst").alias("dep"), "ord")
+    asked = written(direct.select("project_id", "dep").unionByName(accepts.select("project_id", "dep")).distinct())  # many rows name few
+    names = written(nodes.select("project_id", F.col("id").alias("dep"), F.col("name").alias("dep_name")).join(asked, ["project_id", "dep"], "left_semi"))
+    listed = lambda df, by, what: df.join(names, ["project_id", "dep"]).groupBy("project_id", "handler_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(by, "dep_name"))), lambda x: x["dep_name"]).alias(what))
+    deps, taken = listed(direct, "pos", "dependencies"), listed(accepts, "ord", "input_models")
     rows = rows.join(deps, ["project_id", "handler_id"], "left").join(taken, ["project_id", "handler_id"], "left")
     none = F.array().cast("array<string>")
     return rows.select("project_id", "file", "method", F.col("full_paths")[0].alias("path"), F.col("path").alias("local_path"), "handler", F.coalesce("input_models", none).alias("input_models"), F.coalesce("dependencies", none).alias("dependencies"), "response_model", "line")
