@@ -129,3 +129,33 @@ def test_near_copies_come_from_trees_of_fingerprints(monkeypatch):
     assert nearcopies.linked_sets(sets, prints, shards, 0.8, 24).tolist() == [0, 0, 2]
     monkeypatch.setattr(nearcopies, "within", lambda fp, group, radius: iter(()))
     assert nearcopies.linked_sets(sets, prints, shards, 0.8, 24).tolist() == [0, 1, 2]
+
+
+def test_near_copies_that_bands_and_trees_do_not_meet(spark):
+    """Pairs of similarity 0.8: one shares no band of minima, the fingerprints of one differ in 34 bits."""
+    short = [f"v11086n{j}" for j in range(9)]
+    long = [f"a{i}" for i in range(84)]
+    more = "b344 b95 b21 b120 b74 b2 b26 b214 b87 b93 b378 b364 b24 b29 b233 b113 b113 b49 b222 b290".split()
+    texts = [" ".join(w) for w in (short[:8], short, long, long + more, long[:40] + more, short[4:] + long[:4])]
+    sets = [nearcopies.shingle_set(t, 5) for t in texts[:4]]
+    assert not set(nearcopies.band_keys(sets[0])) & set(nearcopies.band_keys(sets[1]))
+    assert (nearcopies.simhash(sets[2]) ^ nearcopies.simhash(sets[3])).bit_count() > 24
+    docs = spark.createDataFrame([*enumerate(texts), (6, texts[1]), (7, ""), (8, None)], "doc_id long, text string").repartition(3)
+    assert dict(map(tuple, near_copies(docs).collect())) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 0, 7: 7, 8: 7}
+
+
+def test_classes_known_before_are_linked_exactly():
+    """Random sets of several shards against all pairs told plainly; classes known before are kept and not linked to those of other shards."""
+    rng = np.random.default_rng(6)
+    bases = [rng.permutation(40)[:20] for _ in range(4)]
+    sets = [np.unique(np.where(rng.random(20) < 0.9, bases[rng.integers(0, 4)], rng.integers(0, 60, 20))).astype(np.uint64) for _ in range(60)]
+    group, classes = np.sort(rng.integers(0, 3, 60)), rng.integers(0, 40, 60)
+    want = np.arange(60)
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                both = len(set(sets[i]) & set(sets[j]))
+                if group[i] == group[j] and (classes[i] == classes[j] or both >= 0.6 * len(set(sets[i]) | set(sets[j]))):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert len(set(want)) < len(set(zip(group.tolist(), classes.tolist(), strict=True)))
+    assert nearcopies.linked_exactly(sets, classes, group, 0.6).tolist() == want.tolist()
